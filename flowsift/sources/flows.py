@@ -96,5 +96,17 @@ def flows_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def event_flows(
+    spark: SparkSession, sf_dir: str, split: str | None = None, label: int | None = None
+) -> DataFrame:
+    """Flows of one scale folder; ``split`` and ``label`` filter the scan itself.
+
+    The conditions are put on the raw columns, so Parquet can skip row groups.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cut = F.lit(TRAIN_UNTIL).cast("date").cast("timestamp_ntz")
+    if split is not None:
+        events = events.where(F.col("ts") < cut if split == "train" else F.col("ts") >= cut)
+    if label is not None:
+        events = events.where(F.col("event_type") == "error" if label else F.col("event_type") != "error")
+    return flows_from_events(events)
