@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsift.functions.numeric import hamming
+from flowsift.functions.numeric import hamming, seeded_key
 from flowsift.operators.sampling import sample_n
 from flowsift.schema import LSH_V1, LSH_V2, LshSpec
 
@@ -107,6 +107,25 @@ class HashFamily:
         return words
 
 
+def hash_runs(codes: DataFrame, families: dict[int, HashFamily], code: str = "embedding") -> DataFrame:
+    """Packed key words where each ``run`` has its own family, in one plan.
+
+    The byte tables of all families (about 100 KB each) are broadcast.
+    """
+    rows = [(r, [f._word_tables(w) for w in range(f.word_count)]) for r, f in families.items()]
+    table = codes.sparkSession.createDataFrame(rows, "run int, __bytes array<array<array<bigint>>>")
+    count = next(iter(families.values())).word_count
+    words = []
+    for w in range(count):
+        total = None
+        for byte in range(8):
+            position = F.shiftrightunsigned(F.col(code), 8 * byte).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+            part = F.get(F.get(F.get("__bytes", F.lit(w)), F.lit(byte)), position)
+            total = part if total is None else total.bitwiseXOR(part)
+        words.append(total.alias(f"w{w}"))
+    return codes.join(F.broadcast(table), "run").select(*codes.columns, *words)
+
+
 def word_names(spec: LshSpec) -> list[str]:
     return [f"w{i}" for i in range(-(-spec.tables // (63 // spec.functions)))]
 
@@ -138,11 +157,17 @@ def distinct_codes(codes: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFram
 
 def distance_sample(codes: DataFrame, seed: int, spec: LshSpec) -> DataFrame:
     """The seeded code sample for the distance statistics, numbered from 0."""
-    picked = sample_n(codes, spec.sample, seed)
-    from flowsift.functions.numeric import seeded_key
+    return number_sample(sample_n(codes, spec.sample, seed), F.lit(seed), spec)
 
+
+def number_sample(codes: DataFrame, seed: Column, spec: LshSpec) -> DataFrame:
+    """Number the codes of each run in seeded order and keep the sample size.
+
+    For tables that hold a sample of fixed size per run already.
+    """
     order = Window.partitionBy("run").orderBy(seeded_key(seed, F.col("id")), "id")
-    return picked.select("run", "embedding", (F.row_number().over(order) - 1).alias("rn"))
+    numbered = codes.select("run", "embedding", (F.row_number().over(order) - 1).alias("rn"))
+    return numbered.where(F.col("rn") < spec.sample)
 
 
 def distance_stats(sample: DataFrame, spec: LshSpec) -> DataFrame:
@@ -207,11 +232,7 @@ class LshModel:
         """Packed words for query codes of all runs."""
         if len(self.families) == 1:
             return hash_codes(codes, next(iter(self.families.values())))
-        parts = [hash_codes(codes.where(F.col("run") == r), f) for r, f in self.families.items()]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        return hash_runs(codes, self.families)
 
     def save(self, path: str) -> None:
         """Index as Parquet, laid out by bucket; metadata as one JSON row."""

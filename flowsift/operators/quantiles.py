@@ -106,20 +106,27 @@ def point_values(ranked: DataFrame, by: Sequence[str], points: Sequence[float],
     """A few quantiles per group as columns ``q0, q1, ...``.
 
     ``ranked`` comes from :func:`cumulative` and carries ``rows``, the number of
-    values of the group.
+    values of the group. ``below0, below1, ...`` and ``upto0, upto1, ...`` count
+    the values below the quantile and those up to it.
     """
     first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt") - 1
+    entry = F.struct(F.col("value").alias("v"), first.alias("below"), (last + 1).alias("upto"))
     ends, results = [], []
     for k, q in enumerate(points):
         place = (rows - 1).cast("double") * F.lit(float(q))
-        low = F.floor(place).cast("bigint")
-        at_low, at_high = _neighbours(low, rows, first, last)
+        at_low, at_high = _neighbours(F.floor(place).cast("bigint"), rows, first, last)
         ends += [
-            F.max(F.when(at_low, F.col("value"))).alias(f"__low{k}"),
-            F.max(F.when(at_high, F.col("value"))).alias(f"__high{k}"),
+            F.max(F.when(at_low, entry)).alias(f"__low{k}"),
+            F.max(F.when(at_high, entry)).alias(f"__high{k}"),
             F.max(place - F.floor(place)).alias(f"__weight{k}"),
         ]
-        results.append(lerp(F.col(f"__low{k}"), F.col(f"__high{k}"), F.col(f"__weight{k}")).alias(f"q{k}"))
+        low, high = F.col(f"__low{k}"), F.col(f"__high{k}")
+        value = lerp(low["v"], high["v"], F.col(f"__weight{k}"))
+        results += [
+            value.alias(f"q{k}"),
+            F.when(value > low["v"], high["below"]).otherwise(low["below"]).alias(f"below{k}"),
+            F.when(value < high["v"], low["upto"]).otherwise(high["upto"]).alias(f"upto{k}"),
+        ]
     return ranked.groupBy(*by).agg(*ends).select(*by, *results)
 
 
@@ -181,4 +188,4 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("rows"))
     ranked = cumulative(counts, keys).join(F.broadcast(totals), keys)
     out = point_values(ranked, keys, points, F.col("rows"))
-    return out if by else out.drop("__all")
+    return out.select(*by, *[f"q{k}" for k in range(len(points))])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsift.operators.features import feature_long
-from flowsift.operators.quantiles import cumulative, grid_points, point_values, value_counts
+from flowsift.operators.quantiles import cumulative, grid_points, left_search, point_values, value_counts
 from flowsift.schema import QUANTIZER_V1, QUANTIZER_V2, QuantizerSpec
 
 DEFAULT_BITS = 2  # width of a feature without parameters (always bin 0)
@@ -30,103 +30,95 @@ PARAMS = T.StructType(
 )
 
 
-def _case(spec: QuantizerSpec, pick, otherwise) -> Column:
-    """CASE over the feature name with one constant per feature."""
-    out = F.lit(otherwise)
-    for name in spec.features:
-        out = F.when(F.col("feature") == name, F.lit(pick(name))).otherwise(out)
-    return out
-
-
-def quantizer_params(features: DataFrame, spec: QuantizerSpec = QUANTIZER_V2, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row of bin parameters per feature (and per ``by`` group).
+def fit_bins(features: DataFrame, spec: QuantizerSpec = QUANTIZER_V2, by: tuple[str, ...] = ()) -> list[dict]:
+    """Bin parameters of every feature (and of every ``by`` group), as dicts.
 
     NaN is left out (and zeros under v1); a feature with fewer than ten values
-    has no row. All features are fitted together from one table of value
-    counts; several groups (seeds) are fitted in the same jobs.
+    has no entry. All features and groups are fitted together from one table of
+    value counts. What comes to the driver is metadata: a summary row per
+    feature, then its thresholds (at most 1024 numbers).
     """
     keys = [*by, "feature"]
     long = feature_long(features, spec.features, keep=by).where(~F.isnan("value"))
     if spec.drop_zeros:
         long = long.where(F.col("value") != 0)
     counts = value_counts(long, keys).persist()
-
     weighted = F.col("cnt") * F.col("value")
-    is_category = F.col("feature").isin(*spec.categorical) if spec.categorical else F.lit(False)
     summary = counts.groupBy(*keys).agg(
+        F.count("*").alias("distinct"),
         F.sum("cnt").alias("n"),
         (F.sum(weighted) / F.sum("cnt")).alias("mean"),
         (F.sum(weighted * F.col("value")) / F.sum("cnt")).alias("mean_square"),
-        F.sort_array(F.collect_set(F.when(is_category, F.col("value")))).alias("categories"),
-    ).where(F.col("n") >= spec.min_support)
-
-    kind = _case(spec, lambda f: "categorical" if f in spec.categorical else spec.rule(f).kind, "plain")
-    # std > mean, without the cancelling subtraction: E[v^2] - m^2 > m^2.
-    spread = (F.col("mean") < 0) | (F.col("mean_square") > 2 * F.col("mean") * F.col("mean"))
-    summary = summary.withColumn("kind", kind).withColumn(
-        "kind",
-        F.when(F.col("kind") == "dispersion", F.when(spread, "log").otherwise("linear")).otherwise(F.col("kind")),
-    )
-    # Smallest b with 2^b >= n + 1, from the binary digits of n.
-    needed = F.length(F.bin(F.size("categories").cast("bigint")))
-    category_bits = F.least(F.greatest(needed, F.lit(spec.min_category_bits)), F.lit(spec.max_category_bits))
-    summary = summary.withColumn(
-        "bits",
-        F.when(F.col("kind") == "categorical", category_bits)
-        .when(F.col("kind") == "linear", _case(spec, lambda f: spec.rule(f).bits_linear, 0))
-        .otherwise(_case(spec, lambda f: spec.rule(f).bits, spec.default_rule.bits))
-        .cast("int"),
-    )
-
-    ranked = cumulative(counts, keys).join(F.broadcast(summary.where(F.col("kind") != "categorical")
-                                                       .select(*keys, "n", "kind", "bits")), keys)
-    trims = _trim_limits(ranked.where(F.col("kind") == "trimmed"), keys)
-    ranked = ranked.join(F.broadcast(trims), keys, "left")
-    points = grid_points(
-        ranked.withColumn("levels", F.expr("shiftleft(1, bits)")),
-        keys,
-        levels="levels",
-        rows=F.coalesce(F.col("kept"), F.col("n")),
-        skip=F.coalesce(F.col("below"), F.lit(0).cast("bigint")),
-        transform=F.when(F.col("kind") == "log", F.log10(F.col("value") + 1)).otherwise(F.col("value")),
-    )
-    thresholds = points.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "threshold"))), lambda p: p["threshold"]).alias("thresholds")
-    )
-    type_name = (
-        F.when(F.col("kind") == "categorical", "categorical")
-        .when(F.col("kind") == "log", "log_continuous")
-        .when(F.col("kind") == "trimmed", "adaptive_continuous")
-        .otherwise("continuous")
-    )
-    return (
-        summary.join(F.broadcast(thresholds), keys, "left")
-        .join(F.broadcast(trims), keys, "left")
-        .select(
-            *by, "feature", type_name.alias("type"), "bits", F.col("n").alias("n_values"),
-            "thresholds",
-            F.when(F.col("kind") == "categorical", F.col("categories")).alias("categories"),
-            "min_val", "max_val",
+        F.sort_array(F.collect_set(F.when(F.col("feature").isin(*spec.categorical), F.col("value")))).alias("categories"),
+    ).collect()
+
+    fitted, numeric, trimmed = {}, [], []
+    for row in summary:
+        if row["n"] < spec.min_support:
+            continue
+        key = tuple(row[k] for k in keys)
+        kind, bits = _kind_and_bits(spec, row)
+        fitted[key] = {
+            **dict(zip(keys, key)), "type": _TYPES[kind], "bits": bits, "n_values": row["n"],
+            "thresholds": None, "categories": list(row["categories"]) if kind == "categorical" else None,
+            "min_val": None, "max_val": None,
+        }
+        if kind == "trimmed":
+            trimmed.append((*key, row["n"]))
+        if kind != "categorical":
+            numeric.append((*key, row["n"], 0, kind, 1 << bits))
+
+    session = features.sparkSession
+    schema = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in by)
+    schema = f"{schema}, feature string" if schema else "feature string"
+    ranked = cumulative(counts, keys, rows=sum(row["distinct"] for row in summary)) if numeric else None
+
+    kept: dict[tuple, tuple[int, int]] = {}
+    if trimmed:
+        listed = session.createDataFrame(trimmed, f"{schema}, n bigint")
+        limits = point_values(ranked.join(F.broadcast(listed), keys), keys, [1 / 100, 99 / 100], F.col("n"))
+        for row in limits.collect():
+            key = tuple(row[k] for k in keys)
+            fitted[key]["min_val"], fitted[key]["max_val"] = row["q0"], row["q1"]
+            kept[key] = (row["upto1"] - row["below0"], row["below0"])
+    if numeric:
+        size = len(keys)
+        goals = [(*g[:size], *kept.get(g[:size], g[size:size + 2]), *g[size + 2:]) for g in numeric]
+        listed = session.createDataFrame(goals, f"{schema}, n bigint, skip bigint, kind string, levels int")
+        points = grid_points(
+            ranked.join(F.broadcast(listed), keys), keys, "levels", F.col("n"), F.col("skip"),
+            F.when(F.col("kind") == "log", F.log10(F.col("value") + 1)).otherwise(F.col("value")),
         )
-    )
+        lists = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "threshold"))).alias("points"))
+        for row in lists.collect():
+            fitted[tuple(row[k] for k in keys)]["thresholds"] = [p["threshold"] for p in row["points"]]
+    counts.unpersist()
+    return list(fitted.values())
+
+
+_TYPES = {
+    "categorical": "categorical", "log": "log_continuous", "trimmed": "adaptive_continuous",
+    "plain": "continuous", "linear": "continuous",
+}
+
+
+def _kind_and_bits(spec: QuantizerSpec, row: Row) -> tuple[str, int]:
+    """Kind and width of one feature from its summary row."""
+    if row["feature"] in spec.categorical:
+        # Smallest b with 2^b >= n + 1.
+        needed = len(row["categories"]).bit_length()
+        return "categorical", min(spec.max_category_bits, max(spec.min_category_bits, needed))
+    rule = spec.rule(row["feature"])
+    if rule.kind != "dispersion":
+        return rule.kind, rule.bits
+    # std > mean, without the cancelling subtraction: E[v^2] - m^2 > m^2.
+    spread = row["mean"] < 0 or row["mean_square"] > 2 * row["mean"] ** 2
+    return ("log", rule.bits) if spread else ("linear", rule.bits_linear)
 
 
-def _trim_limits(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """1st and 99th percentile, rows below the first and rows between (inclusive)."""
-    limits = point_values(ranked, keys, [1 / 100, 99 / 100], F.col("n")).select(
-        *keys, F.col("q0").alias("min_val"), F.col("q1").alias("max_val")
-    )
-    value, count = F.col("value"), F.col("cnt")
-    below = F.sum(F.when(value < F.col("min_val"), count).otherwise(0))
-    kept = F.sum(F.when(value.between(F.col("min_val"), F.col("max_val")), count).otherwise(0))
-    return (
-        ranked.join(F.broadcast(limits), keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("min_val").alias("min_val"), F.first("max_val").alias("max_val"),
-            below.alias("below"), kept.alias("kept"),
-        )
-    )
+def quantizer_params(features: DataFrame, spec: QuantizerSpec = QUANTIZER_V2) -> DataFrame:
+    """The fitted parameters as a table, one row per feature."""
+    return features.sparkSession.createDataFrame(fit_bins(features, spec), PARAMS)
 
 
 @dataclass(frozen=True)
@@ -154,7 +146,7 @@ class QuantizerModel:
         self.spec, self.bins = spec, bins
 
     @classmethod
-    def from_rows(cls, spec: QuantizerSpec, rows: list[Row]) -> "QuantizerModel":
+    def from_rows(cls, spec: QuantizerSpec, rows: list) -> "QuantizerModel":
         def tup(v):
             return None if v is None else tuple(v)
 
@@ -288,8 +280,42 @@ def _constant_ints(values: list[int]) -> Column:
 
 
 def fit_quantizer(features: DataFrame, spec: QuantizerSpec = QUANTIZER_V2) -> QuantizerModel:
-    """Learn the bins. Only the parameter rows come to the driver."""
-    return QuantizerModel.from_rows(spec, quantizer_params(features, spec).collect())
+    """Learn the bins of one training table."""
+    return QuantizerModel.from_rows(spec, fit_bins(features, spec))
+
+
+def encode_runs(
+    features: DataFrame, models: dict[int, QuantizerModel], keep: tuple[str, ...] = ("run", "id")
+) -> DataFrame:
+    """Codes of rows that belong to different models (``run``), in one plan.
+
+    Bins and layout of each run come from a broadcast table with a row per run.
+    """
+    names = next(iter(models.values())).spec.priority
+    fields, rows = ["run int"], []
+    for n in names:
+        fields += [f"w_{n} int", f"t_{n} array<double>", f"c_{n} array<double>", f"l_{n} double", f"h_{n} double", f"log_{n} boolean"]
+    for run, model in models.items():
+        widths, row = dict(model.layout()), [run]
+        for n in names:
+            b = model.bins.get(n)
+            row += [widths.get(n, 0), b and b.thresholds, b and b.categories, b and b.min_val, b and b.max_val,
+                    bool(b) and b.type == "log_continuous"]
+        rows.append(tuple(row))
+    table = features.sparkSession.createDataFrame(rows, ", ".join(fields))
+    joined = features.join(F.broadcast(table), "run")
+    code, zero = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for n in names:
+        value, steps, known = F.col(n).cast("double"), F.col(f"t_{n}"), F.col(f"c_{n}")
+        moved = F.when(F.col(f"log_{n}"), F.log10(value + 1)).otherwise(
+            F.least(F.greatest(value, F.col(f"l_{n}")), F.col(f"h_{n}"))
+        )
+        last = F.size(steps) - 1
+        slot = F.when(F.isnan(value), last).otherwise(F.least(left_search(steps, moved, 1024), last)).cast("bigint")
+        category = F.coalesce(F.greatest(F.array_position(known, value) - 1, F.lit(0)).cast("bigint"), zero)
+        bin_ = F.when(F.col(f"w_{n}") == 0, zero).when(steps.isNotNull(), slot).when(known.isNotNull(), category).otherwise(zero)
+        code = F.call_function("shiftleft", code, F.col(f"w_{n}")).bitwiseOR(bin_)
+    return joined.select(*keep, code.alias("embedding"))
 
 
 def quantizer_report(params: DataFrame) -> DataFrame:

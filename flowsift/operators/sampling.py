@@ -52,6 +52,49 @@ def _sample_by_ranges(df: DataFrame, n: int, seed: int, ident: str) -> DataFrame
     return whole.unionByName(cut).drop("__key")
 
 
+def sample_runs(df: DataFrame, quotas: dict[int, int], seeds: list[int], label: str = "label", ident: str = "id") -> DataFrame:
+    """One stratified sample per seed in a single scan; adds ``run``.
+
+    The result for run r is the union over labels of ``sample_n(.., n, seeds[r])``.
+    From the label counts follows a key bound that leaves a few more rows than
+    the quota; only those are ordered. Should a bound leave too few, the label
+    falls back to one top-n per seed.
+    """
+    wanted = df.where(F.col(label).isin(*quotas))
+    totals = {r[label]: r["rows"] for r in wanted.groupBy(label).agg(F.count("*").alias("rows")).collect()}
+    bounds = {}
+    for value, n in quotas.items():
+        total = totals.get(value, 0)
+        share = (n + 8 * n**0.5 + 64) / total if total else 1.0
+        bounds[value] = "g" if share >= 1 else f"{int(share * 2**128):032x}"  # "g" is above every hex digit
+    bound = F.lit("g")
+    for value, text in bounds.items():
+        bound = F.when(F.col(label) == value, F.lit(text)).otherwise(bound)
+    draws = F.array(*[
+        F.struct(F.lit(r).alias("run"), seeded_key(s, F.col(ident)).alias("key")) for r, s in enumerate(seeds)
+    ])
+    near = (
+        wanted.withColumn("__bound", bound)
+        .withColumn("__draw", F.explode(F.filter(draws, lambda d: d["key"] < F.col("__bound"))))
+        .select(*df.columns, F.col("__draw.run").alias("run"), F.col("__draw.key").alias("__key"))
+        .persist()
+    )
+    found = {(r["run"], r[label]): r["rows"] for r in near.groupBy("run", label).agg(F.count("*").alias("rows")).collect()}
+    short = [v for v, n in quotas.items() if any(
+        found.get((r, v), 0) < min(n, totals.get(v, 0)) for r in range(len(seeds)))]
+    quota = F.lit(0)
+    for value, n in quotas.items():
+        quota = F.when(F.col(label) == value, F.lit(0 if value in short else n)).otherwise(quota)
+    # A (run, label) group holds the quota plus a few standard deviations.
+    order = Window.partitionBy("run", label).orderBy("__key", ident)
+    out = near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= quota).select(*df.columns, "run")
+    for value in short:
+        for r, s in enumerate(seeds):
+            part = sample_n(df.where(F.col(label) == value), quotas[value], s, ident)
+            out = out.unionByName(part.withColumn("run", F.lit(r)))
+    return out
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int, ident: str = "id") -> DataFrame:
     """Each row kept with probability ``fraction``; row-wise, no shuffle."""
     return df.where(uniform(seed, F.col(ident)) < fraction)

@@ -148,7 +148,9 @@ def enriched_flow_table(spark, sf_dir):
     flows = event_flows(spark, sf_dir)
     train = feats.enrich(flows.where("split = 'train'"), True)
     test = feats.enrich(flows.where("split = 'test'"), False)
-    return rounded(train.unionByName(test), "dur", "rate").drop("flow_description")
+    out = rounded(train.unionByName(test), "dur", "rate").drop("flow_description")
+    # The id 0 is falsy, so that record is named by its content.
+    return out.withColumn("flow_id", F.when(F.length("flow_id") == 32, "hashed").otherwise(F.col("flow_id")))
 
 
 def coerce_double(spark, sf_dir):

@@ -116,17 +116,12 @@ def corr_pairs(names) -> str:
 def ablation_chain() -> str:
     """v1 codes without each priority feature: run 0 is the full set."""
     order = QUANTIZER_V1.priority
-    base = V1.split("layout_wide AS (")[0].rstrip().rstrip(",")
+    base = V1.split("feature_order(run, i, feature)")[0].rstrip().rstrip(",")
     runs = {0: None, **dict(enumerate(order, 1))}
-    parts = []
-    for r, gone in runs.items():
-        spec = QUANTIZER_V1.without(gone) if gone else QUANTIZER_V1
-        text = S.layout(spec).replace("layout_wide", f"lw{r}").replace("layout_steps", f"ls{r}").replace("shifts AS", f"shifts{r} AS")
-        parts.append(text)
-    union = " UNION ALL ".join(f"SELECT {r} AS run, feature, shift FROM shifts{r}" for r in runs)
-    parts.append(f"shifts AS ({union})")
+    orders = {r: tuple(f for f in order if f != gone) for r, gone in runs.items()}
+    parts = [S.layout(orders, QUANTIZER_V1.code_bits, shared_params=True)]
     for side in ("train", "test"):
-        parts.append(f"{side}_codes AS (SELECT s.run, b.id, bit_or(b.bin << s.shift) AS embedding FROM {side}_bins b JOIN shifts s USING (feature) GROUP BY s.run, b.id)")
+        parts.append(f"{side}_codes AS MATERIALIZED (SELECT s.run, b.id, bit_or(b.bin << s.shift) AS embedding FROM {side}_bins b JOIN shifts s USING (feature) GROUP BY s.run, b.id)")
     family = HashFamily.draw(42, LSH_V1)
     parts += [
         S.masks({r: family for r in runs}), S.stats("train_codes", {r: 42 for r in runs}, LSH_V1),
@@ -169,7 +164,7 @@ def sql() -> dict[str, str]:
                            "t.proto, t.service, t.state, t.sbytes, t.dbytes, t.spkts, t.dpkts FROM predictions p JOIN test t ON t.id = p.id WHERE p.is_anomaly",
         "run_performance": f"{P2} SELECT model, 'run-42' AS run_ts, 42 AS random_seed, total_samples AS flows_processed, {RATES}, {G('roc_auc')} AS roc_auc, total_samples, anomalies_detected, true_anomalies FROM full_metrics",
         "enriched_flow_table": f"{flows} SELECT " + ", ".join(f"{G(n)} AS {n}" if n in ("dur", "rate") else f"{n}::DOUBLE AS {n}" for n in VECTOR8)
-                               + ", proto, service, state, CAST(id AS VARCHAR) AS flow_id, label, label = 1 AS is_anomaly, 0.0e0 AS anomaly_score, split = 'train' AS training_set FROM flows",
+                               + ", proto, service, state, CASE WHEN id = 0 THEN 'hashed' ELSE CAST(id AS VARCHAR) END AS flow_id, label, label = 1 AS is_anomaly, 0.0e0 AS anomaly_score, split = 'train' AS training_set FROM flows",
         # projections
         "coerce_double": f"{flows} SELECT id, CASE WHEN smean IN ('-', '', 'nan') THEN -1.0e0 ELSE coalesce(try_cast(smean AS DOUBLE), -1.0e0) END AS value FROM flows",
         "coerce_int": f"{flows} SELECT id, CASE WHEN smean IN ('-', '', 'nan') THEN 0 ELSE coalesce(trunc(try_cast(smean AS DOUBLE))::BIGINT, 0) END::BIGINT AS value, trunc(dur)::BIGINT AS whole_seconds FROM flows",
@@ -183,7 +178,7 @@ def sql() -> dict[str, str]:
         "feature_matrix": f"{ALL} SELECT id, (u.p - 1)::INT AS pos, {G('u.v')} AS value FROM (SELECT id, [{matrix}] AS m FROM feats) f, LATERAL (SELECT unnest(range(1, 10)) AS p, unnest(f.m) AS v) u",
         "feature_long": f"{ALL} SELECT id, feature, {G('value')} AS value FROM ({S.unpivot('feats', OPTIMIZED_FEATURES)})",
         "flow_vector8": f"{flows} SELECT id, " + ", ".join(f"{G(n)} AS {n}" if n in ("dur", "rate") else f"{n}::DOUBLE AS {n}" for n in VECTOR8) + ", proto, service, state FROM flows",
-        "content_id": "SELECT event_id, CAST(event_id AS VARCHAR) AS own_id, md5(concat('{\"event_type\":\"', event_type, '\",\"user_id\":', CAST(user_id AS VARCHAR), '}')) AS content_hash FROM events",
+        "content_id": "SELECT event_id, CASE WHEN event_id <> 0 THEN CAST(event_id AS VARCHAR) ELSE md5(concat('{\"event_type\":\"', event_type, '\",\"user_id\":', CAST(user_id AS VARCHAR), '}')) END AS own_id, md5(concat('{\"event_type\":\"', event_type, '\",\"user_id\":', CAST(user_id AS VARCHAR), '}')) AS content_hash FROM events",
         "flow_match_key": f"{flows} SELECT id, concat('ip_src=192.168.1.1,ip_dst=192.168.1.2', CASE lower(proto) WHEN 'tcp' THEN ',ip_proto=6,tcp_src=80,tcp_dst=443' WHEN 'udp' THEN ',ip_proto=17,udp_src=80,udp_dst=443' ELSE '' END) AS match_key FROM flows",
         # filters and samples
         "normal_flows": f"{flows} SELECT id, label FROM flows WHERE label = 0",

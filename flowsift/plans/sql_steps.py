@@ -115,7 +115,7 @@ def quantizer(train: str, spec: QuantizerSpec) -> str:
     cats = ", ".join(f"'{f}'" for f in spec.categorical)
     return f"""
 long AS ({unpivot(train, spec.features)}),
-ranks AS (
+ranks AS MATERIALIZED (
   SELECT run, feature, value, row_number() OVER (PARTITION BY run, feature ORDER BY value) - 1 AS rk
   FROM long {keep}
 ), summary0 AS (
@@ -131,11 +131,14 @@ ranks AS (
          WHEN kind0 = 'dispersion' AND NOT std > mean THEN {linear}
          ELSE {bits} END::INT AS bits
   FROM summary1
+), end_goals AS (
+  SELECT run, feature, q, (n - 1) * q AS place, unnest([0, 1]) AS side, n
+  FROM (SELECT *, unnest([1 / 100.0e0, 99 / 100.0e0]) AS q FROM summary WHERE kind = 'trimmed')
+), end_ranks AS (
+  SELECT *, least(floor(place)::BIGINT + side, n - 1) AS rk FROM end_goals
 ), ends AS (
-  SELECT s.run, s.feature, q, (s.n - 1) * q AS place, lo.value AS low, hi.value AS high
-  FROM (SELECT *, unnest([1 / 100.0e0, 99 / 100.0e0]) AS q FROM summary WHERE kind = 'trimmed') s
-  JOIN ranks lo ON lo.run = s.run AND lo.feature = s.feature AND lo.rk = floor((s.n - 1) * q)
-  JOIN ranks hi ON hi.run = s.run AND hi.feature = s.feature AND hi.rk = least(floor((s.n - 1) * q) + 1, s.n - 1)
+  SELECT g.run, g.feature, g.q, g.place, max(CASE WHEN side = 0 THEN r.value END) AS low, max(CASE WHEN side = 1 THEN r.value END) AS high
+  FROM end_ranks g JOIN ranks r ON r.run = g.run AND r.feature = g.feature AND r.rk = g.rk GROUP BY ALL
 ), trim_limits AS (
   SELECT run, feature,
     max(CASE WHEN q < 0.5e0 THEN {lerp('low', 'high', '(place - floor(place))')} END) AS min_val,
@@ -151,16 +154,18 @@ ranks AS (
   FROM summary s LEFT JOIN trims t USING (run, feature) WHERE s.kind <> 'categorical'
 ), goals AS (
   SELECT *, (n - 1) * CASE WHEN i = levels - 1 THEN 1.0e0 ELSE i * (100.0e0 / (levels - 1)) / 100.0e0 END AS place FROM goals0
+), goal_sides AS (
+  SELECT *, unnest([0, 1]) AS side FROM goals
+), goal_ranks AS (
+  SELECT *, least(floor(place)::BIGINT + side, n - 1) + skip AS rk FROM goal_sides
 ), points0 AS (
   SELECT g.run, g.feature, g.i, g.place - floor(g.place) AS weight,
-    CASE WHEN kind = 'log' THEN log10(lo.value + 1) ELSE lo.value END AS low,
-    CASE WHEN kind = 'log' THEN log10(hi.value + 1) ELSE hi.value END AS high
-  FROM goals g
-  JOIN ranks lo ON lo.run = g.run AND lo.feature = g.feature AND lo.rk = floor(g.place) + g.skip
-  JOIN ranks hi ON hi.run = g.run AND hi.feature = g.feature AND hi.rk = least(floor(g.place) + 1, g.n - 1) + g.skip
+    max(CASE WHEN side = 0 THEN CASE WHEN kind = 'log' THEN log10(r.value + 1) ELSE r.value END END) AS low,
+    max(CASE WHEN side = 1 THEN CASE WHEN kind = 'log' THEN log10(r.value + 1) ELSE r.value END END) AS high
+  FROM goal_ranks g JOIN ranks r ON r.run = g.run AND r.feature = g.feature AND r.rk = g.rk GROUP BY ALL
 ), points AS (
   SELECT run, feature, i, {lerp('low', 'high', 'weight')} AS threshold FROM points0
-), params AS (
+), params AS MATERIALIZED (
   SELECT s.run, s.feature, s.kind,
     CASE s.kind WHEN 'categorical' THEN 'categorical' WHEN 'log' THEN 'log_continuous'
       WHEN 'trimmed' THEN 'adaptive_continuous' ELSE 'continuous' END AS type,
@@ -181,7 +186,7 @@ def bins(name: str, source: str, names: tuple[str, ...]) -> str:
 {name}_moved AS (
   SELECT l.run, l.id, l.feature, l.value, {moved} AS moved, p.thresholds, p.categories, p.type
   FROM {name}_long l LEFT JOIN params p USING (run, feature)
-), {name} AS (
+), {name} AS MATERIALIZED (
   SELECT run, id, feature,
     CASE WHEN type IS NULL THEN 0
          WHEN type = 'categorical' THEN greatest(coalesce(list_position(categories, value), 0) - 1, 0)
@@ -190,28 +195,34 @@ def bins(name: str, source: str, names: tuple[str, ...]) -> str:
 )"""
 
 
-def layout(spec: QuantizerSpec) -> str:
-    """CTE ``shifts``: run, feature, shift of each feature that fits in the code."""
-    wide = ", ".join(f"coalesce(max(CASE WHEN feature = '{f}' THEN bits END), 2) AS b{i}" for i, f in enumerate(spec.priority))
-    steps, used = [], "0"
-    for i in range(len(spec.priority)):
-        steps.append(f"CASE WHEN {used} + b{i} <= {spec.code_bits} THEN b{i} ELSE 0 END AS t{i}")
-        steps.append(f"{used} + t{i} AS u{i}")
-        used = f"u{i}"
-    last = f"u{len(spec.priority) - 1}"
-    rows = " UNION ALL ".join(
-        f"SELECT run, '{f}' AS feature, {last} - u{i} AS shift FROM layout_steps WHERE t{i} > 0"
-        for i, f in enumerate(spec.priority)
-    )
+def layout(orders: dict[int, tuple[str, ...]], code_bits: int, shared_params: bool = False) -> str:
+    """CTE ``shifts``: run, feature, shift of each feature that fits in the code.
+
+    ``orders`` gives the feature order of each run; with ``shared_params`` all
+    runs take the bits of run 0.
+    """
+    rows = ", ".join(f"({r}, {i}, '{f}')" for r, order in orders.items() for i, f in enumerate(order, 1))
+    run = "0" if shared_params else "v.run"
     return f"""
-layout_wide AS (SELECT run, {wide} FROM params GROUP BY run),
-layout_steps AS (SELECT *, {', '.join(steps)} FROM layout_wide),
-shifts AS ({rows})"""
+feature_order(run, i, feature) AS (VALUES {rows}),
+order_bits AS MATERIALIZED (
+  SELECT v.run, v.i, v.feature, coalesce(p.bits, 2) AS bits FROM feature_order v LEFT JOIN params p ON p.feature = v.feature AND p.run = {run}
+), fill AS (
+  SELECT DISTINCT run, 0 AS i, 0 AS used, 0 AS width FROM order_bits
+  UNION ALL
+  SELECT f.run, o.i, f.used + CASE WHEN f.used + o.bits <= {code_bits} THEN o.bits ELSE 0 END,
+    CASE WHEN f.used + o.bits <= {code_bits} THEN o.bits ELSE 0 END
+  FROM fill f JOIN order_bits o ON o.run = f.run AND o.i = f.i + 1
+), shifts AS MATERIALIZED (
+  SELECT o.run, o.feature, t.total - f.used AS shift
+  FROM fill f JOIN order_bits o ON o.run = f.run AND o.i = f.i
+  JOIN (SELECT run, max(used) AS total FROM fill GROUP BY run) t ON t.run = f.run WHERE f.width > 0
+)"""
 
 
 def codes(name: str, binned: str) -> str:
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT run, id, bit_or(bin << shift) AS embedding FROM {binned} JOIN shifts USING (run, feature) GROUP BY run, id
 )"""
 
@@ -228,7 +239,7 @@ def masks(families: dict[int, HashFamily]) -> str:
 
 def keys(name: str, source: str, code: str = "embedding") -> str:
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT c.run, c.{code} AS code, m.t, sum((bit_count(c.{code} & m.mask) % 2)::BIGINT << m.f)::BIGINT AS hash_key
   FROM (SELECT DISTINCT run, {code} FROM {source}) c JOIN masks m ON m.run = c.run GROUP BY ALL
 )"""
@@ -267,13 +278,13 @@ firsts AS (
 )"""
     return f"""
 {keys('ikeys', train_codes)},
-idx AS (
+idx AS MATERIALIZED (
   SELECT k.run, k.t, k.hash_key, k.code, d.n_flows, d.first_pos
   FROM ikeys k JOIN (SELECT run, embedding, count(*) AS n_flows, min(id) AS first_pos FROM {train_codes} GROUP BY ALL) d
     ON d.run = k.run AND d.embedding = k.code
 ),
 {keys('qkeys', query_codes)},
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT DISTINCT q.run, q.code AS q, i.code AS c FROM qkeys q JOIN idx i ON i.run = q.run AND i.t = q.t AND i.hash_key = q.hash_key
 ), {probe},
 every AS (SELECT *, false AS probed FROM pairs UNION ALL SELECT *, true FROM probed),
@@ -320,12 +331,12 @@ def chain(version: str, seeds: dict[int, int], train: str, test: str) -> str:
     spec, lsh, names = (QUANTIZER_V1, LSH_V1, FEATURES) if version == "v1" else (QUANTIZER_V2, LSH_V2, OPTIMIZED_FEATURES)
     families = {r: HashFamily.draw(s, lsh) for r, s in seeds.items()}
     order = spec.priority
-    return "WITH " + ",".join([
+    return "WITH RECURSIVE " + ",".join([
         FLOWS, f"train AS ({train})", f"test AS ({test})",
         features("train_features", "train"), features("test_features", "test", "train"),
         quantizer("train_features", spec),
         bins("train_bins", "train_features", order), bins("test_bins", "test_features", order),
-        layout(spec), codes("train_codes", "train_bins"), codes("test_codes", "test_bins"),
+        layout({r: order for r in seeds}, spec.code_bits), codes("train_codes", "train_bins"), codes("test_codes", "test_bins"),
         masks(families), stats("train_codes", seeds, lsh),
         neighbours("train_codes", "test_codes", lsh), verdict("test_codes", lsh),
     ])
