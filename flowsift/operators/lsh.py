@@ -73,7 +73,7 @@ class HashFamily:
         ]
         return cls(masks, bits)
 
-    def _word_tables(self, word: int) -> list[list[int]]:
+    def byte_tables(self, word: int) -> list[list[int]]:
         """For each byte of the code, the 256 contributions to one packed word."""
         effect = [0] * 64
         for slot in range(self.per_word):
@@ -93,34 +93,21 @@ class HashFamily:
             out.append(row)
         return out
 
-    def words(self, code: Column) -> list[Column]:
-        """Packed keys of all tables for a code column."""
-        words = []
-        for w in range(self.word_count):
-            total = None
-            for byte, row in enumerate(self._word_tables(w)):
-                table = F.expr(f"cast(split('{','.join(map(str, row))}', ',') as array<bigint>)")
-                position = F.shiftrightunsigned(code, 8 * byte).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-                part = F.get(table, position)
-                total = part if total is None else total.bitwiseXOR(part)
-            words.append(total.alias(f"w{w}"))
-        return words
 
+def hash_codes(codes: DataFrame, families: dict[int, HashFamily], code: str = "embedding") -> DataFrame:
+    """Add the packed key words; each ``run`` has its own family.
 
-def hash_runs(codes: DataFrame, families: dict[int, HashFamily], code: str = "embedding") -> DataFrame:
-    """Packed key words where each ``run`` has its own family, in one plan.
-
-    The byte tables of all families (about 100 KB each) are broadcast.
+    The byte tables of a family (about 100 KB) come from a broadcast table with
+    one row per run, so all runs share one small plan.
     """
-    rows = [(r, [f._word_tables(w) for w in range(f.word_count)]) for r, f in families.items()]
-    table = codes.sparkSession.createDataFrame(rows, "run int, __bytes array<array<array<bigint>>>")
-    count = next(iter(families.values())).word_count
+    rows = [(r, [x for w in range(f.word_count) for row in f.byte_tables(w) for x in row]) for r, f in families.items()]
+    table = codes.sparkSession.createDataFrame(rows, "run int, __bytes array<bigint>")
     words = []
-    for w in range(count):
+    for w in range(next(iter(families.values())).word_count):
         total = None
         for byte in range(8):
-            position = F.shiftrightunsigned(F.col(code), 8 * byte).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-            part = F.get(F.get(F.get("__bytes", F.lit(w)), F.lit(byte)), position)
+            value = F.shiftrightunsigned(F.col(code), 8 * byte).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+            part = F.get(F.col("__bytes"), value + F.lit((w * 8 + byte) * 256))
             total = part if total is None else total.bitwiseXOR(part)
         words.append(total.alias(f"w{w}"))
     return codes.join(F.broadcast(table), "run").select(*codes.columns, *words)
@@ -138,11 +125,6 @@ def table_key(words: list[Column], table: int, spec: LshSpec) -> Column:
     return F.shiftright(words[table // per_word], shift).bitwiseAND(mask).cast("int")
 
 
-def hash_codes(codes: DataFrame, family: HashFamily, code: str = "embedding") -> DataFrame:
-    """Add the packed key words to a code table."""
-    return codes.select("*", *family.words(F.col(code)))
-
-
 def explode_keys(hashed: DataFrame, spec: LshSpec) -> DataFrame:
     """One row per code and table: adds ``table_idx`` and ``hash_key``."""
     words = [F.col(w) for w in word_names(spec)]
@@ -230,9 +212,7 @@ class LshModel:
 
     def hash(self, codes: DataFrame) -> DataFrame:
         """Packed words for query codes of all runs."""
-        if len(self.families) == 1:
-            return hash_codes(codes, next(iter(self.families.values())))
-        return hash_runs(codes, self.families)
+        return hash_codes(codes, self.families)
 
     def save(self, path: str) -> None:
         """Index as Parquet, laid out by bucket; metadata as one JSON row."""
@@ -259,9 +239,9 @@ class LshModel:
         return cls(spec, families, index, index.count(), **rows)
 
 
-def build_index(codes: DataFrame, family: HashFamily, spec: LshSpec) -> DataFrame:
+def build_index(codes: DataFrame, families: dict[int, HashFamily], spec: LshSpec) -> DataFrame:
     """Distinct codes in every table: run, table_idx, hash_key, embedding, ..."""
-    return explode_keys(hash_codes(distinct_codes(codes), family), spec)
+    return explode_keys(hash_codes(distinct_codes(codes), families), spec)
 
 
 def finish_model(
@@ -296,20 +276,23 @@ def finish_model(
             .collect()
         )
     buckets.unpersist()
-    return LshModel(spec, families, index, index_rows, with_threshold(stats, spec).collect(), probes, hot)
+    found = with_threshold(stats, spec).collect()
+    if not found:  # no training codes at all: the fixed statistics
+        names = ("run", "mean", "std", "p10", "p25", "p50", "p75", "p90")
+        default = [(r, spec.default_mean, spec.default_std, *spec.default_percentiles) for r in families]
+        schema = ", ".join(f"{n} {'int' if n == 'run' else 'double'}" for n in names)
+        found = with_threshold(index.sparkSession.createDataFrame(default, schema), spec).collect()
+    return LshModel(spec, families, index, index_rows, found, probes, hot)
 
 
 def fit_lsh(codes: DataFrame, seed: int = 42, spec: LshSpec = LSH_V2, family: HashFamily | None = None) -> LshModel:
     """Index ``(id, embedding)`` of normal flows under one seed."""
-    family = family or HashFamily.draw(seed, spec)
-    tagged = codes.select(F.lit(0).alias("run"), "id", "embedding")
+    families = {0: family or HashFamily.draw(seed, spec)}
+    tagged = codes.select(F.lit(0).alias("run"), "id", "embedding").persist()
     stats = distance_stats(distance_sample(tagged, seed, spec), spec)
-    if tagged.limit(1).count() == 0:
-        stats = codes.sparkSession.createDataFrame(
-            [(0, spec.default_mean, spec.default_std, *spec.default_percentiles)],
-            "run int, mean double, std double, p10 double, p25 double, p50 double, p75 double, p90 double",
-        )
-    return finish_model(build_index(tagged, family, spec), {0: family}, stats, spec)
+    model = finish_model(build_index(tagged, families, spec), families, stats, spec)
+    tagged.unpersist()
+    return model
 
 
 # ---------------------------------------------------------------- candidates
@@ -444,8 +427,10 @@ def knn(model: LshModel, codes: DataFrame) -> DataFrame:
     avg_distance, probed.
     """
     spec = model.spec
-    queries = model.hash(codes.select("run", "embedding").distinct())
-    exact = nearest(bucket_pairs(model, queries), spec.neighbours).withColumn("probed", F.lit(False))
+    # Both are read more than once: the queries by join, probe and result, the
+    # neighbours by the result and by the search for queries without any.
+    queries = model.hash(codes.select("run", "embedding").distinct()).persist()
+    exact = nearest(bucket_pairs(model, queries), spec.neighbours).withColumn("probed", F.lit(False)).persist()
     found = exact
     if spec.probe_tables and model.probes:
         missed = queries.join(exact.select("run", F.col("query").alias("embedding")), ["run", "embedding"], "left_anti")

@@ -91,15 +91,15 @@ def seeds_chain() -> str:
 
 
 def histogram(cte: str, source: str, bins: int) -> str:
-    return f"""{cte}, numbers AS (SELECT v::DOUBLE AS v FROM ({source})), ends AS (SELECT min(v) AS lo, max(v) AS hi FROM numbers),
-placed AS (SELECT least(greatest(floor((v - lo) / (hi - lo) * {bins}.0e0), 0), {bins - 1})::INT AS bin, count(*) AS n FROM numbers, ends GROUP BY ALL)
+    return f"""{cte}, numbers AS (SELECT v::DOUBLE AS v FROM ({source})), hist_ends AS (SELECT min(v) AS lo, max(v) AS hi FROM numbers),
+placed AS (SELECT least(greatest(floor((v - lo) / (hi - lo) * {bins}.0e0), 0), {bins - 1})::INT AS bin, count(*) AS n FROM numbers, hist_ends GROUP BY ALL)
 SELECT b.bin::INT AS bin, lo + b.bin * ((hi - lo) / {bins}) AS lower, lo + (b.bin + 1) * ((hi - lo) / {bins}) AS upper, coalesce(n, 0) AS rows
-FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN ends LEFT JOIN placed p ON p.bin = b.bin"""
+FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN hist_ends LEFT JOIN placed p ON p.bin = b.bin"""
 
 
 def profile_rows(names) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, {G(f'avg({n}::DOUBLE)')} AS mean, {G(f'stddev_pop({n}::DOUBLE)')} AS std, "
+        f"SELECT '{n}' AS feature, {S.grid(f'avg({n}::DOUBLE)', '1e2')} AS mean, {S.grid(f'stddev_pop({n}::DOUBLE)', '1e2')} AS std, "
         f"{G(f'min({n}::DOUBLE)')} AS min, {G(f'max({n}::DOUBLE)')} AS max, "
         f"{G(f'avg(CASE WHEN {n} = 0 THEN 1.0e0 ELSE 0.0e0 END)')} AS zero_ratio FROM feats" for n in names
     )
@@ -227,6 +227,12 @@ def sql() -> dict[str, str]:
         "top_features": f"{ablation_chain()} SELECT {ABLATION_COLUMNS} FROM ablation ORDER BY f1_drop DESC, removed_feature LIMIT 10",
         "scaled_features": f"{ALL} {scaled(OPTIMIZED_FEATURES, 'feats')}",
     }
+    q["run_history"] = q["run_performance"]
+    q["stream_score"] = q["prediction_detail"]
+    q["stream_metrics"] = (
+        f"{P2} SELECT model, total_samples AS flows_processed, anomalies_detected, "
+        f"{G('anomalies_detected / total_samples')} AS detection_share, {G('accuracy')} AS accuracy FROM metrics"
+    )
     seeds = seeds_chain()
     spread = ", ".join(f'{G(f"""avg("{m}")""")} AS {m}_mean, {G(f"""stddev_pop("{m}")""")} AS {m}_std' for m in (*RATE_COLUMNS, "roc_auc"))
     q["metrics_over_seeds"] = f"{seeds} SELECT model, {spread} FROM full_metrics GROUP BY model"

@@ -44,8 +44,8 @@ e AS (
 )"""
 
 
-def grid(expr: str) -> str:
-    return f"floor(({expr}) * 1e6 + 0.5e0) / 1e6"
+def grid(expr: str, step: str = "1e6") -> str:
+    return f"floor(({expr}) * {step} + 0.5e0) / {step}"
 
 
 def seeded(seed: str, ident: str = "id") -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,19 @@ from pyspark.sql import functions as F
 from flowsift.operators.features import enrich
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written results, in the session's shared checkpoint folder.
+
+    Only a local session without that setting uses a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="flowsift-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def write_summary(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A small result table (metrics per model or seed), one file."""
     writer = df.coalesce(1).write.mode("overwrite")
