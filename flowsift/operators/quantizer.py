@@ -253,11 +253,15 @@ class QuantizerModel:
         return cls.from_rows(spec, rows)
 
 
+def _log(value: Column) -> Column:
+    """log10(v + 1): NaN for a negative argument and -inf for 0, where Spark gives null."""
+    return F.when(value >= -1, F.coalesce(F.log10(value + 1), F.lit(float("-inf")))).otherwise(F.lit(float("nan")))
+
+
 def _search_value(value: Column, params: FeatureBins) -> Column:
     """The value on the scale of the thresholds; NaN stays NaN."""
     if params.type == "log_continuous":
-        # log10 of a negative argument is NaN by convention, not null.
-        return F.when(value >= -1, F.coalesce(F.log10(value + 1), F.lit(float("-inf")))).otherwise(F.lit(float("nan")))
+        return _log(value)
     if params.min_val is not None:
         clipped = F.least(F.greatest(value, F.lit(params.min_val)), F.lit(params.max_val))
         return F.when(F.isnan(value), value).otherwise(clipped)
@@ -307,11 +311,11 @@ def encode_runs(
     code, zero = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for n in names:
         value, steps, known = F.col(n).cast("double"), F.col(f"t_{n}"), F.col(f"c_{n}")
-        moved = F.when(F.col(f"log_{n}"), F.log10(value + 1)).otherwise(
+        moved = F.when(F.col(f"log_{n}"), _log(value)).when(F.isnan(value), value).otherwise(
             F.least(F.greatest(value, F.col(f"l_{n}")), F.col(f"h_{n}"))
         )
         last = F.size(steps) - 1
-        slot = F.when(F.isnan(value), last).otherwise(F.least(left_search(steps, moved, 1024), last)).cast("bigint")
+        slot = F.when(F.isnan(moved), last).otherwise(F.least(left_search(steps, moved, 1024), last)).cast("bigint")
         category = F.coalesce(F.greatest(F.array_position(known, value) - 1, F.lit(0)).cast("bigint"), zero)
         bin_ = F.when(F.col(f"w_{n}") == 0, zero).when(steps.isNotNull(), slot).when(known.isNotNull(), category).otherwise(zero)
         code = F.call_function("shiftleft", code, F.col(f"w_{n}")).bitwiseOR(bin_)

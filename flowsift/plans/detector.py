@@ -48,8 +48,9 @@ class FlowDetector:
 
         Codes are scored once each and joined back to the flows.
         """
-        columns = ("id", *keep)
-        coded = self.codes(flows, columns)
+        # Kept columns travel in a struct: some share their name with a feature.
+        packed = flows.withColumn("__kept", F.struct(*[F.col(c) for c in keep])) if keep else flows
+        coded = self.codes(packed, ("id", "__kept") if keep else ("id",))
         counted = coded.groupBy("run", "embedding").agg(F.count("*").alias("n_flows")).persist()
         size = counted.agg(F.count("*").alias("codes"), F.sum("n_flows").alias("flows")).first()
         summary = knn(self.lsh, counted)
@@ -58,7 +59,8 @@ class FlowDetector:
         else:
             joined = self._join_spread(coded, summary, counted, size["flows"])
         scored = with_verdict(joined, self.lsh, self.seed, "id")
-        return scored.select(*columns, F.lit(self.model_name).alias("model"), "is_anomaly", "score")
+        kept = [F.col("__kept")[c].alias(c) for c in keep]
+        return scored.select("id", *kept, F.lit(self.model_name).alias("model"), "is_anomaly", "score")
 
     def _join_spread(self, coded: DataFrame, summary: DataFrame, counted: DataFrame, flows: int) -> DataFrame:
         """Shuffle join with the flows of hot codes spread over ``HOT_SPREAD`` groups.
