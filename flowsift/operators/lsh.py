@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowsift.functions.numeric import hamming, seeded_key
+from flowsift.functions.runs import attach_run
 from flowsift.operators.sampling import sample_n
 from flowsift.schema import LSH_V1, LSH_V2, LshSpec
 
@@ -97,20 +98,22 @@ class HashFamily:
 def hash_codes(codes: DataFrame, families: dict[int, HashFamily], code: str = "embedding") -> DataFrame:
     """Add the packed key words; each ``run`` has its own family.
 
-    The byte tables of a family (about 100 KB) come from a broadcast table with
-    one row per run, so all runs share one small plan.
+    The byte tables of a family are about 100 KB.
     """
-    rows = [(r, [x for w in range(f.word_count) for row in f.byte_tables(w) for x in row]) for r, f in families.items()]
-    table = codes.sparkSession.createDataFrame(rows, "run int, __bytes array<bigint>")
+    tables = {
+        r: {f"__b{w}_{j}": row for w in range(f.word_count) for j, row in enumerate(f.byte_tables(w))}
+        for r, f in families.items()
+    }
     words = []
     for w in range(next(iter(families.values())).word_count):
         total = None
-        for byte in range(8):
-            value = F.shiftrightunsigned(F.col(code), 8 * byte).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-            part = F.get(F.col("__bytes"), value + F.lit((w * 8 + byte) * 256))
+        for j in range(8):
+            value = F.shiftrightunsigned(F.col(code), 8 * j).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+            part = F.get(F.col(f"__b{w}_{j}"), value)
             total = part if total is None else total.bitwiseXOR(part)
         words.append(total.alias(f"w{w}"))
-    return codes.join(F.broadcast(table), "run").select(*codes.columns, *words)
+    kinds = {name: "array<bigint>" for name in next(iter(tables.values()))}
+    return attach_run(codes, tables, kinds).select(*codes.columns, *words)
 
 
 def word_names(spec: LshSpec) -> list[str]:
@@ -205,10 +208,11 @@ class LshModel:
     def spark(self) -> SparkSession:
         return self.index.sparkSession
 
-    def stats_table(self) -> DataFrame:
-        names = ["run", "mean", "std", "p10", "p25", "p50", "p75", "p90", "threshold"]
-        schema = ", ".join(f"{n} {'int' if n == 'run' else 'double'}" for n in names)
-        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in self.stats], schema)
+    def with_stats(self, df: DataFrame) -> DataFrame:
+        """Add the statistics of each row's run."""
+        names = ("mean", "std", "p10", "p25", "p50", "p75", "p90", "threshold")
+        rows = {r["run"]: {n: float(r[n]) for n in names} for r in self.stats}
+        return attach_run(df, rows, {n: "double" for n in names})
 
     def hash(self, codes: DataFrame) -> DataFrame:
         """Packed words for query codes of all runs."""
@@ -355,24 +359,23 @@ def probe_pairs(model: LshModel, queries: DataFrame) -> DataFrame:
     within ``probe_bits`` differing bits counts as near.
     """
     spec = model.spec
-    lists = model.spark.createDataFrame(
-        [(r["run"], r["table_idx"], list(r["keys"])) for r in model.probes], "run int, table_idx int, keys array<int>"
-    )
+    first_keys = {r: {f"__keys{t}": [] for t in range(spec.probe_tables)} for r in model.families}
+    for row in model.probes:
+        first_keys[row["run"]][f"__keys{row['table_idx']}"] = list(row["keys"])
+    kinds = {f"__keys{t}": "array<int>" for t in range(spec.probe_tables)}
     words = [F.col(w) for w in word_names(spec)]
-    own = F.array(*[table_key(words, t, spec) for t in range(spec.probe_tables)])
-    # lists: at most probe_tables rows per run.
+
+    def close(t: int) -> Column:
+        """Bucket references of table t whose key is near the query's own key."""
+        own = table_key(words, t, spec)
+        listed = F.filter(f"__keys{t}", lambda k: F.bit_count(k.bitwiseXOR(own)) <= spec.probe_bits)
+        return F.transform(listed, lambda k: F.struct(F.lit(t).alias("table_idx"), k.alias("hash_key")))
+
     near = (
-        queries.join(F.broadcast(lists), "run")
-        .withColumn("__own", F.get(own, F.col("table_idx")))
-        .select(
-            *queries.columns, "table_idx",
-            F.explode(F.filter("keys", lambda k: F.bit_count(k.bitwiseXOR(F.col("__own"))) <= spec.probe_bits)).alias("hash_key"),
-        )
+        attach_run(queries, first_keys, kinds)
+        .select(*queries.columns, F.explode(F.concat(*[close(t) for t in range(spec.probe_tables)])).alias("__near"))
+        .select(*queries.columns, "__near.table_idx", "__near.hash_key")
     )
-    wide = lists.groupBy("run").agg(*[
-        F.first(F.when(F.col("table_idx") == t, F.col("keys")), ignorenulls=True).alias(f"__keys{t}")
-        for t in range(spec.probe_tables)
-    ])
     bits = F.lit(0)
     mine = F.lit(False)
     for t in range(spec.probe_tables):
@@ -380,10 +383,10 @@ def probe_pairs(model: LshModel, queries: DataFrame) -> DataFrame:
         bits = bits + F.when(listed, 1 << t).otherwise(0)
         mine = mine | ((F.col("table_idx") == t) & listed)
     probed = (
-        model.index.where(F.col("table_idx") < spec.probe_tables)
-        .join(F.broadcast(wide), "run")
+        attach_run(model.index.where(F.col("table_idx") < spec.probe_tables), first_keys, kinds)
         .where(mine)
         .withColumn("probe_bits", bits)
+        .drop(*kinds)
     )
     met = _meet(model, near, probed, model.index_rows)
     q, c = _pair_keys(spec)

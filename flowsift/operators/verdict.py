@@ -53,6 +53,4 @@ def with_verdict(neighbours: DataFrame, model: LshModel, seed: int | None = None
     if model.spec.version == "v2" and ident and seed is not None and any(r["p25"] > r["mean"] for r in model.stats):
         draw = uniform(seed, F.col(ident))
     flag, score = verdict_columns(model.spec, draw)
-    # stats: one row per run.
-    joined = neighbours.join(F.broadcast(model.stats_table()), "run")
-    return joined.select(*neighbours.columns, flag.alias("is_anomaly"), score.alias("score"))
+    return model.with_stats(neighbours).select(*neighbours.columns, flag.alias("is_anomaly"), score.alias("score"))
