@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowsift.functions.coerce import coerce_label, double_or, protocol_code, read_long
 from flowsift.functions.numeric import grid, hamming, sign_code
@@ -290,16 +289,12 @@ def lsh_index(spark, sf_dir):
 
 
 def hamming_distance(spark, sf_dir):
-    """Distance of each normal code to the code before it in id order."""
-    codes = detector(spark, sf_dir).codes(normal_train(spark, sf_dir)).select("id", "embedding")
-    # Neighbours by id without a global window: order inside day ranges, and take
-    # the row before a range from the last row of the range before it.
-    ranges = codes.withColumn("block", F.floor(F.col("id") / 100_000))
-    inside = Window.partitionBy("block").orderBy("id")
-    ends = ranges.groupBy("block").agg(F.max_by("embedding", "id").alias("tail"))
-    before = ends.select("block", F.lag("tail").over(Window.orderBy("block")).alias("previous"))
-    with_last = ranges.withColumn("last", F.lag("embedding").over(inside)).join(F.broadcast(before), "block")
-    return with_last.select("id", hamming(F.col("embedding"), F.coalesce("last", "previous")).cast("int").alias("distance"))
+    """Distance of each vector's sign code to the first vector of its class."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    codes = vectors.select("vec_id", "label", sign_code(F.col("embedding"), 64).alias("code"))
+    first = codes.groupBy("label").agg(F.min_by("code", "vec_id").alias("first_code"))
+    # one row per class label; Spark picks the join from its run-time size
+    return codes.join(first, "label").select("vec_id", hamming(F.col("code"), F.col("first_code")).cast("int").alias("distance"))
 
 
 def _stats(spark, sf_dir, version, spec):

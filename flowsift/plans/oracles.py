@@ -197,7 +197,9 @@ def sql() -> dict[str, str]:
         # index and verdict
         "lsh_keys": f"{V2} SELECT code AS embedding, t::INT AS table_idx, hash_key::INT AS hash_key FROM qkeys",
         "lsh_index": f"{V2} SELECT t::INT AS table_idx, hash_key::INT AS hash_key, code AS embedding, n_flows, first_pos FROM idx",
-        "hamming_distance": f"{V2} SELECT id, bit_count(xor(embedding, lag(embedding) OVER (ORDER BY id)))::INT AS distance FROM train_codes",
+        "hamming_distance": f"WITH coded AS (SELECT vec_id, label, {sign_code()} AS code FROM embeddings), "
+                            "firsts AS (SELECT label, arg_min(code, vec_id) AS first_code FROM coded GROUP BY label) "
+                            "SELECT vec_id, bit_count(xor(code, first_code))::INT AS distance FROM coded JOIN firsts USING (label)",
         "distance_stats": f"{V2} SELECT {', '.join(f'{G(c)} AS {c}' for c in ('mean', 'std', 'p10', 'p25', 'p50', 'p75', 'p90'))} FROM stats",
         "distance_stats_v1": f"{V1} SELECT {', '.join(f'{G(c)} AS {c}' for c in ('mean', 'std'))} FROM stats",
         "anomaly_threshold": f"{V2} SELECT {G('threshold')} AS threshold FROM stats",
