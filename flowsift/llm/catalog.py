@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from flowsift.llm import links, mixing, perspectives
+from flowsift.llm import links, mixing, packing, perspectives, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op6_tier_packing": packing.op6,
     "op8_perspectives": perspectives.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_link_trust": links.op10,
 }
 
