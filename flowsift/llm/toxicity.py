@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word-bigram models, of toxic and of ordinary texts, with absolute discounts.
-Below the bigrams stand each class's continuation counts (in how many pairs a word
-ends), with backoff weights from the counts of both classes. Expressions that are
-rare (fewer than ``min_count`` in both classes together), or whose counts in
-the classes don't differ by ``clear`` standard errors, rest on the shared counts
-of both classes, so they speak for neither. A text's score is a logistic function
-of the difference of the two log-likelihoods, over the whole text, taken per word
-and per root of the number of words, fitted on rows held back from the counts.
+Two word-bigram models, of toxic and of ordinary texts, with absolute discounts and
+the Kneser-Ney way of counting contexts, not repeats: an expression counts once for
+each text of the class it occurs in, and equal texts are one. Under the bigrams stand
+each class's counts of single words, with backoff weights from both classes.
+Expressions that are rare (fewer than ``min_count`` in both classes together), or whose
+counts differ from the classes' shares by less than ``clear`` standard errors, rest on the
+shared counts of both classes, so they speak for neither. A text's score is a
+logistic function of the difference of the two log-likelihoods, over the whole
+text, taken per word and per root of the number of words, fitted on rows held back
+from the counts.
 
 The fit uses a bounded sample of labelled rows: at most about ``max_rows`` of each
-class, equally many of both (chosen by a hash of the id). So the tables of the
+class (chosen by a hash of the id). So the tables of the
 model, which all tasks get, are bounded by ``max_rows`` texts of a class. Scoring
 reads every text once, with no shuffle.
 
@@ -53,21 +55,26 @@ def _expressions(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words (before: null) and pairs: in how many texts of each class they occur."""
     for batch in batches:
         for part in pieces(batch, "text"):
             words = Words(part.column("text"))
+            words.trim()
             word, before, pair = _expressions(words)
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[words.doc_of()]
-            frame = pd.DataFrame({"pair": pair, "word": word, "before": before, "toxic": toxic})
-            frame = frame.groupby("pair", sort=False).agg(
-                word=("word", "first"), before=("before", "first"), n1=("toxic", "sum"), n=("toxic", "size")
-            ).reset_index()
-            yield pa.record_batch({
-                "pair": pa.array(frame["pair"].to_numpy().view(np.int64)),
-                "word": pa.array(frame["word"].to_numpy().view(np.int64)),
-                "before": pa.array(frame["before"].to_numpy().view(np.int64)),
-                "toxic": pa.array(frame["n1"].to_numpy()), "ordinary": pa.array((frame["n"] - frame["n1"]).to_numpy()),
-            })
+            label = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = words.doc_of()
+            for key in (pair, word):
+                seen = pd.DataFrame({"key": key, "doc": doc, "word": word, "before": before}).drop_duplicates(["key", "doc"])
+                seen["toxic"] = label[seen["doc"].to_numpy()]
+                sums = seen.groupby("key", sort=False).agg(
+                    word=("word", "first"), before=("before", "first"), toxic=("toxic", "sum"), n=("toxic", "size")
+                )
+                i64 = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
+                yield pa.record_batch({
+                    "key": i64(sums.index), "word": i64(sums["word"]),
+                    "before": i64(sums["before"]) if key is pair else pa.nulls(len(sums), pa.int64()),
+                    "toxic": pa.array(sums["toxic"].to_numpy(np.int64)), "ordinary": pa.array((sums["n"] - sums["toxic"]).to_numpy(np.int64)),
+                })
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +102,7 @@ class KneserNeyPair:
     def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Difference of log-likelihoods and number of words of each text."""
         words = Words(texts)
+        words.trim()
         n = np.diff(words.doc_at)
         if not len(words):
             return np.zeros(len(n)), n
@@ -133,30 +141,33 @@ def _log_ratio(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 def _model(pairs: pd.DataFrame, words: pd.DataFrame, befores: pd.DataFrame, total: dict) -> KneserNeyPair:
     """Ratios of the expressions that keep class counts.
 
-    pairs: counts by class; words: continuation counts by class, of the kept words and of
-    the last words of kept pairs; befores: counts of the first words of kept pairs.
+    pairs: counts by class; words: counts of the kept words and of both words of kept
+    pairs (own: kept); befores: number of kinds of pairs that begin with a word.
     """
     words, befores = words.set_index("word"), befores.set_index("before")
     low, high = {}, {}
-    left, right = befores.reindex(pairs["before"]), words.reindex(pairs["word"])
-    weight = (DISCOUNT * left["kinds"] / (left["toxic"] + left["ordinary"])).to_numpy(float)
+    left, right = words.reindex(pairs["before"]), words.reindex(pairs["word"])
+    both = (left["toxic"] + left["ordinary"]).fillna(0).to_numpy(float)
+    weight = np.minimum(1, DISCOUNT * befores["kinds"].reindex(pairs["before"]).fillna(1).to_numpy(float) / np.maximum(both, 1))
     for c in ("toxic", "ordinary"):
-        kinds = max(total[f"{c}_pairs"], 1)
-        floor = max(DISCOUNT * total[f"{c}_words"], 1) / kinds / total["words"]
-        lower = lambda n: np.maximum(n - DISCOUNT, 0) / kinds + floor  # noqa: B023, E731
-        low[c] = lower(words[f"{c}_pairs"].to_numpy(float))
-        below = np.where(right["own"], lower(right[f"{c}_pairs"].to_numpy(float)), lower(right["pairs"].to_numpy(float) / 2))
-        high[c] = np.maximum(pairs[c].to_numpy(float) - DISCOUNT, 0) / np.maximum(left[c].to_numpy(float), 1) + weight * below
+        n = max(total[c], 1)
+        floor = max(DISCOUNT * total[f"{c}_words"], 1) / n / max(total["words"], 1)
+        share = total[c] / max(total["toxic"] + total["ordinary"], 1)
+        lower = lambda count: np.maximum(count - DISCOUNT, 0) / n + floor  # noqa: B023, E731
+        low[c] = lower(words[c].to_numpy(float))
+        shared = (right["toxic"] + right["ordinary"]).to_numpy(float) * share
+        below = lower(np.where(right["own"].to_numpy(bool), right[c].to_numpy(float), shared))
+        high[c] = np.maximum(pairs[c].to_numpy(float) - DISCOUNT, 0) / np.maximum(left[c].fillna(0).to_numpy(float), 1) + weight * below
     u64 = lambda s: s.to_numpy(np.int64).view(np.uint64)
     own = words["own"].to_numpy(bool)
     return KneserNeyPair(
-        _table(u64(pairs["pair"]), _log_ratio(high["toxic"], high["ordinary"])),
+        _table(u64(pairs["key"]), _log_ratio(high["toxic"], high["ordinary"])),
         _table(u64(words.index.to_series())[own], _log_ratio(low["toxic"], low["ordinary"])[own]),
     )
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_count: int = 4, clear: float = 3.0, folds: int = 5, test_fold: int = 0
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_count: int = 3, clear: float = 5.0, folds: int = 5, test_fold: int = 0
 ) -> KneserNeyPair | None:
     """The model from labelled texts outside the test fold; None without both classes."""
     spark = docs.sparkSession
@@ -168,48 +179,35 @@ def fit_toxicity(
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    want = min(max_rows, sizes[0], sizes[1])
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, want / sizes[1]).otherwise(want / sizes[0])
+    share = F.when(F.col("toxic") == 1, max_rows / sizes[1]).otherwise(max_rows / sizes[0])
     chosen = known.where(draw < share)  # about 2 * max_rows ids
     rows = written(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
         .withColumn("held", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(4)) == 0),
         "toxic-sample",
     )
-    counted = (
-        rows.where("not held").select("text", "toxic")
-        .mapInArrow(_count, "pair long, word long, before long, toxic long, ordinary long")
-        .groupBy("pair").agg(
-            F.first("word").alias("word"), F.first("before").alias("before"),
-            F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-        )
+    counted = written(
+        rows.where("not held").groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text"))
+        .select("text", "toxic")
+        .mapInArrow(_count, "key long, word long, before long, toxic long, ordinary long")
+        .groupBy("key", "word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
+        "toxic-counts",
     )
-    counted = written(counted, "toxic-counts")
-    kinds = lambda c: F.count_if(F.col(c) > 0).alias(f"{c}_pairs")
-    by_word = written(counted.groupBy("word").agg(kinds("toxic"), kinds("ordinary"), F.count("*").alias("pairs")), "toxic-words")
-    total = by_word.agg(
-        F.sum("toxic_pairs").alias("toxic_pairs"), F.sum("ordinary_pairs").alias("ordinary_pairs"),
-        F.count_if(F.col("toxic_pairs") > 0).alias("toxic_words"), F.count_if(F.col("ordinary_pairs") > 0).alias("ordinary_words"),
-        F.count("*").alias("words"),
-    ).toPandas().iloc[0].fillna(0).to_dict()
-
-    def own(a: str, b: str, of_a: str, of_b: str):
-        """Enough counts, and shares in the classes that differ clearly."""
-        share = total[of_a] / max(total[of_a] + total[of_b], 1)
-        both = F.col(a) + F.col(b)
-        return (both >= min_count) & (F.abs(F.col(a) - both * share) >= clear * F.sqrt(both * share * (1 - share)))
-
-    sums = counted.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first().asDict()
-    total |= {k: v or 0 for k, v in sums.items()}
-    pairs = counted.where(own("toxic", "ordinary", "toxic", "ordinary")).toPandas()
-    words = by_word.withColumn("own", own("toxic_pairs", "ordinary_pairs", "toxic_pairs", "ordinary_pairs"))
-    ends = spark.createDataFrame(pairs[["word"]].drop_duplicates(), "word long")
-    firsts = spark.createDataFrame(pairs[["before"]].drop_duplicates(), "before long")
-    words = words.where("own").unionByName(words.where("not own").join(F.broadcast(ends), "word")).toPandas()
-    befores = counted.join(F.broadcast(firsts), "before").groupBy("before").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("kinds")
-    ).toPandas()
+    by_word, by_pair = counted.where("before is null"), counted.where("before is not null")
+    total = {k: v or 0 for k, v in by_word.agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("words"),
+        F.count_if(F.col("toxic") > 0).alias("toxic_words"), F.count_if(F.col("ordinary") > 0).alias("ordinary_words"),
+    ).first().asDict().items()}
+    share = total["toxic"] / max(total["toxic"] + total["ordinary"], 1)
+    both = F.col("toxic") + F.col("ordinary")
+    own = (both >= min_count) & (F.abs(F.col("toxic") - both * share) >= clear * F.sqrt(both * share * (1 - share)))
+    pairs = by_pair.where(own).toPandas()
+    parts = pd.concat([pairs["word"], pairs["before"]]).astype("int64").drop_duplicates().to_frame("word")
+    parts = F.broadcast(spark.createDataFrame(parts, "word long"))
+    words = by_word.withColumn("own", own)
+    words = words.where("own").unionByName(words.where("not own").join(parts, "word").select(words.columns)).toPandas()
+    befores = by_pair.join(parts.withColumnRenamed("word", "before"), "before").groupBy("before").agg(F.count("*").alias("kinds")).toPandas()
     model = _model(pairs, words, befores, total)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _VALUES = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64)[FOLD]
@@ -66,6 +68,19 @@ class Words:
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
         self.doc_at = np.searchsorted(self.starts, self.bounds)
 
+    def trim(self) -> None:
+        """Take ASCII marks off both ends of words; words of marks only keep their first one."""
+        while True:
+            more = (self.ends - self.starts > 1) & _MARKS[self.data[self.ends - 1]] if len(self) else np.zeros(0, bool)
+            if not more.any():
+                break
+            self.ends = self.ends - more
+        while True:
+            more = (self.ends - self.starts > 1) & _MARKS[self.data[self.starts]] if len(self) else np.zeros(0, bool)
+            if not more.any():
+                break
+            self.starts = self.starts + more
+
     def __len__(self) -> int:
         return len(self.starts)
 
