@@ -1,21 +1,52 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+1. toxicity: documents that the class-conditional models reject go; the others stay
+   as they are (also those with null or empty texts).
+2. near_duplicates: of every group of documents that share 80% of their shingles of
+   five words one stays, that with the smallest id; of rows with the same id and
+   equal texts one stays. Documents without words and rows without id all stay.
+3. mix_sources: the documents in the proportions of the mix, a row for each time that
+   one is taken, its text cut to the words taken.
+4. packing: token windows of several lengths; one row per piece of a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowsift.llm.mixing import mixed_documents
+from flowsift.llm.neardup import near_duplicates
+from flowsift.llm.packing import pack_documents
 from flowsift.llm.scratch import written
+from flowsift.llm.toxicity import fit_toxicity, toxicity_scores
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the proportions of the mix: a row for each time that one is taken."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_scores(docs, model).where("toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(docs)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    unique = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return unique.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("mix_sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mix_sources", mix_sources), ("packing", pack)]
 
-ORACLE_SQL = None  # scores, signatures and token ids have no SQL form; tests use brute force
+ORACLE_SQL = None  # scores and token ids have no SQL form; the stages are tested one by one against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

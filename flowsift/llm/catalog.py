@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowsift.llm import links, mixing, packing, perspectives, toxicity
+from flowsift.llm import links, mixing, neardup, packing, perspectives, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op5_near_duplicates": neardup.op5,
     "op6_tier_packing": packing.op6,
     "op8_perspectives": perspectives.op8,
     "op9_toxicity": toxicity.op9,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_near_duplicates": neardup.op5_sql(),
     "op8_perspectives": perspectives.OP8_SQL,
     "op10_link_trust": links.op10_sql(),
 }
