@@ -29,9 +29,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    unique = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return unique.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = written(groups.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
+    rest = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = written(
+        docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"),
+        "near-again",
+    )
+    if again.isEmpty():
+        return rest
+    same = F.col("doc_id") == F.col("__id")
+    repeated = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(again, same, "left_anti").unionByName(repeated)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowsift.llm import links, mixing, neardup, packing, perspectives, toxicity
+from flowsift.llm import links, mixing, neardup, packing, perspectives, tokenfiles, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op3_token_files": tokenfiles.op3,
     "op5_near_duplicates": neardup.op5,
     "op6_tier_packing": packing.op6,
     "op8_perspectives": perspectives.op8,
