@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowsift.llm import links, mixing, neardup, packing, perspectives, tokenfiles, toxicity
+from flowsift.llm import links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op2_pivot_top_k": pivots.op2,
     "op3_token_files": tokenfiles.op3,
     "op5_near_duplicates": neardup.op5,
     "op6_tier_packing": packing.op6,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_pivot_top_k": pivots.OP2_SQL,
     "op5_near_duplicates": neardup.op5_sql(),
     "op8_perspectives": perspectives.OP8_SQL,
     "op10_link_trust": links.op10_sql(),
