@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsift.llm import links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
+from flowsift.llm import graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": tokenfiles.op3,
     "op5_near_duplicates": neardup.op5,
     "op6_tier_packing": packing.op6,
+    "op7_graph_neighbours": graphs.op7,
     "op8_perspectives": perspectives.op8,
     "op9_toxicity": toxicity.op9,
     "op10_link_trust": links.op10,
