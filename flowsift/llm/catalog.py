@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowsift.llm import graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
+from flowsift.llm import contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
     "op2_pivot_top_k": pivots.op2,
     "op3_token_files": tokenfiles.op3,
+    "op4_context_mixing": contextmix.op4,
     "op5_near_duplicates": neardup.op5,
     "op6_tier_packing": packing.op6,
     "op7_graph_neighbours": graphs.op7,
