@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select("id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")),
         "dealt",
     )
-    full = texts.where("doc_id is not null and text is not null").join(dealt, F.col("doc_id") == F.col("id")).select("comp", "i", "j", "id", "text")
+    # The candidates grow with the documents, so they are never broadcast.
+    full = texts.where("doc_id is not null and text is not null").join(dealt.hint("merge"), F.col("doc_id") == F.col("id")).select("comp", "i", "j", "id", "text")
     links = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(_confirmed(size, percent), "a long, b long")
     groups = connected(links)
     named = written(
