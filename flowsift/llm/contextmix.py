@@ -4,8 +4,8 @@ A text is a row of words and one end. Every word is coded in binary decisions: t
 path of a Huffman tree over the ``vocabulary`` most frequent training words (counted
 exactly over the whole corpus), the end and an escape; an escaped word is spelled, letter by letter, by a
 second tree over bytes. Each decision is predicted by several counters in hashed
-contexts (for words: none, the word before, the last frequent word, the last two
-frequent words; for letters: one to four letters before). The counters' log-odds are added with
+contexts (for words: the word before, the last frequent word, the last two frequent
+words; for letters: two to four letters before; the tree itself is balanced by plain frequency). The counters' log-odds are added with
 weights of the gate that fits how much the contexts have been seen, and the result is
 refined by a table of outcomes by node class and predicted odds. The sum of
 log2 over all decisions is the text's code length; divided by its bytes it gives bits per byte.
@@ -44,10 +44,11 @@ from flowsift.llm.scratch import ship, written
 from flowsift.llm.words import FOLD, Words, mix64, pieces
 
 SPREAD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-WORD_SLOTS, LETTER_SLOTS = (17, 19, 19, 19), (16, 17, 18, 19)
+WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (17, 18, 19)
 GATES, ODDS, CLASSES = 27, 24, 64
 CHUNK = 1 << 16
-_LOG = np.log(np.arange(4096, dtype=np.float64) + 0.4).astype(np.float32)
+#: A weight's step is taken from every STRIDE-th decision; counters take all.
+STRIDE = 4
 
 
 class Code:
@@ -92,10 +93,12 @@ class Mixer:
 
     slots: tuple[int, ...]
     counts: list[np.ndarray] = field(default_factory=list)  # rows: outcomes 0 and 1
-    odds: list[np.ndarray] = field(default_factory=list)  # frozen: log-odds * 256, times 4, plus how much was seen
+    odds: list[np.ndarray] = field(default_factory=list)  # frozen: log-odds
+    sure: list[np.ndarray] = field(default_factory=list)  # frozen: how much was seen, 0 to 2
     weights: np.ndarray | None = None
     refine: np.ndarray | None = None
     seen: int = 0
+    _table: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         if not self.counts and not self.odds:
@@ -107,66 +110,80 @@ class Mixer:
 
     def _slots(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         salted = node * TURN
-        return [((c[of] + salted) * SPREAD >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, self.slots, strict=True)]
+        out = []
+        for c, b in zip(contexts, self.slots, strict=True):
+            slot = c[of]
+            slot += salted
+            slot *= SPREAD
+            slot >>= np.uint64(64 - b)
+            out.append(slot.view(np.int64))
+        return out
 
     def _inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Log-odds of each counter, and the gate: how much the three highest contexts were seen (0 to 2 each)."""
-        inputs, gate = [], np.zeros(len(slots[0]), np.int64)
+        """Log-odds of each counter, and the gate: how much each context was seen (0 to 2)."""
+        inputs, gate = [], None
         for p, slot in enumerate(slots):
             if self.odds:
-                packed = self.odds[p][slot].astype(np.int32)
-                x, sure = (packed >> 2).astype(np.float32) * np.float32(1 / 256), packed & 3
+                x, sure = self.odds[p][slot], self.sure[p][slot]
             else:
-                x, sure = _log_odds(self.counts[p][slot])
+                x, sure = _log_odds(self.counts[p].view(np.int64).ravel()[slot].view(np.int32).reshape(-1, 2))
             inputs.append(x)
-            if p >= len(slots) - 3:
-                gate = gate * 3 + sure
+            gate = sure if gate is None else gate * np.int8(3) + sure
         return inputs, gate
 
-    def predict(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray, train: bool) -> np.ndarray:
-        """log2 of the probability of every outcome; with train, learn from them afterwards."""
-        slots = self._slots(contexts, of, node)
-        inputs, gate = self._inputs(slots)
+    def _mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for p, x in enumerate(inputs):
-            z += self.weights[:, p][gate] * x
-        np.clip(z, -11, 11, out=z)
+            part = np.ascontiguousarray(self.weights[:, p])[gate]
+            part *= x
+            z += part
+        return np.clip(z, -11, 11, out=z)
+
+    def predict(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log2 of the probability of every outcome."""
+        inputs, gate = self._inputs(self._slots(contexts, of, node))
+        z = self._mix(inputs, gate)
+        p1 = 1 / (1 + np.exp(-z))
+        p1 *= np.float32(0.7)
+        p1 += self._refined()[_cell(node, z)]
+        np.clip(p1, 1e-5, 1 - 1e-5, out=p1)
+        return np.log2(np.where(bit == 1, p1, 1 - p1))
+
+    def _refined(self) -> np.ndarray:
+        if self._table is None:
+            self._table = (0.3 * (self.refine[:, 1] + 8 * _middle()) / (self.refine.sum(1) + 8)).astype(np.float32)
+        return self._table
+
+    def learn(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray) -> None:
+        """Predict with what is known so far, step along the error, then count."""
+        slots = self._slots(contexts, of, node)
+        some = [slot[::STRIDE] for slot in slots]
+        inputs, gate = self._inputs(some)
+        z = self._mix(inputs, gate)
         one = 1 / (1 + np.exp(-z))
-        cell = (node & np.uint64(CLASSES - 1)).astype(np.int64) * ODDS + ((z + 11.5) * np.float32((ODDS - 1) / 23)).astype(np.int64)
-        table = self.refine + 0.0
-        refined = ((table[:, 1] + 8 * _middle()) / (table.sum(1) + 8)).astype(np.float32)[cell]
-        p1 = np.clip(np.float32(0.7) * one + np.float32(0.3) * refined, 1e-5, 1 - 1e-5)
-        likely = np.where(bit == 1, p1, 1 - p1)
-        if train:
-            error = bit - one
-            rate = np.float32(2.0 / np.sqrt(1 + self.seen / 100_000))
-            n = np.maximum(np.bincount(gate, minlength=GATES), 100)
-            for p, x in enumerate(inputs):
-                self.weights[:, p] += rate * (np.bincount(gate, error * x, GATES) / n).astype(np.float32) * np.float32(0.1)
-            np.clip(self.weights, -1, 3, out=self.weights)
-            self.refine += np.bincount(cell * 2 + bit, minlength=2 * len(self.refine)).reshape(-1, 2)
-            for p, slot in enumerate(slots):
-                np.add.at(self.counts[p].reshape(-1), slot * 2 + bit, 1)
-            self.seen += len(bit)
-        return np.log2(likely)
-
-    def frozen(self) -> Mixer:
-        return Mixer(self.slots, odds=[freeze(c) for c in self.counts], weights=self.weights, refine=self.refine, seen=self.seen)
+        seen = bit[::STRIDE]
+        error, spread = seen - one, one * (1 - one)
+        for p, x in enumerate(inputs):  # a Newton step for each weight of each gate
+            pull, bend = np.bincount(gate, error * x, GATES), np.bincount(gate, spread * x * x, GATES)
+            self.weights[:, p] += (0.5 / len(inputs) * pull / (bend + 100)).astype(np.float32)
+        np.clip(self.weights, -1, 3, out=self.weights)
+        self.refine += np.bincount(_cell(node[::STRIDE], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
+        for counts, slot in zip(self.counts, slots, strict=True):
+            counts += np.bincount(slot * 2 + bit, minlength=2 * len(counts)).reshape(-1, 2).astype(np.int32)
+        self.seen += len(bit)
 
 
-def _log_odds(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n0, n1 = pair[:, 0], pair[:, 1]
-    n = n0 + n1
-    big = n > 4000
-    if big.any():
-        cut = np.where(big, n, 4000) / 4000
-        n0, n1 = (n0 / cut).astype(np.int32), (n1 / cut).astype(np.int32)
-    return _LOG[n1] - _LOG[n0], (n > 0).astype(np.int64) + (n > 3)
+def _cell(node: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return (node & np.uint64(CLASSES - 1)).astype(np.int32) * np.int32(ODDS) + ((z + 11.5) * np.float32((ODDS - 1) / 23)).astype(np.int32)
 
 
-def freeze(pair: np.ndarray) -> np.ndarray:
-    x, sure = _log_odds(pair)
-    return ((np.round(x * 256).astype(np.int32) << 2) | sure.astype(np.int32)).astype(np.int16)
+def _log_odds(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of outcome 1, and how much was seen: 0, 1 (up to three times) or 2."""
+    n = pair.astype(np.float32)
+    n += np.float32(0.4)
+    np.log(n, out=n)
+    total = pair[:, 0] + pair[:, 1]
+    return n[:, 1] - n[:, 0], (total > 0).astype(np.int8) + (total > 3)
 
 
 def _middle() -> np.ndarray:
@@ -196,6 +213,7 @@ class Vocabulary:
 
 
 FREQUENT = 64
+LETTERS = 4
 START = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -225,7 +243,7 @@ def _encode(words: Words, vocabulary: Vocabulary, codes: np.ndarray, kinds: np.n
     two = np.where(one >= 0, one[np.maximum(one, 0)], -1)
     name = lambda i: np.where(i >= 0, symbols[np.maximum(i, 0)], FREQUENT).astype(np.uint64)
     contexts = [
-        np.zeros(len(doc), np.uint64), mix64(before + np.uint64(1)), mix64(name(one) + np.uint64(10_000_000)),
+        mix64(before + np.uint64(1)), mix64(name(one) + np.uint64(10_000_000)),
         mix64(name(one) * np.uint64(FREQUENT + 1) + name(two) + np.uint64(20_000_000)),
     ]
     return symbols, contexts, doc, is_word
@@ -242,12 +260,13 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     symbols = np.full(len(word), 256)
     symbols[inside] = FOLD[data[(np.repeat(starts, long + 1) + flat)[inside]]]
     contexts, held = [], np.zeros(len(word), np.uint64)
-    for k in range(1, 5):
+    for k in range(1, LETTERS + 1):
         back = np.zeros(len(word), np.uint64)
         back[k:] = symbols[:-k] + 1
         back[flat < k] = 0
         held = held * np.uint64(257) + back
-        contexts.append(mix64(held + np.uint64(k)))
+        if k > 1:
+            contexts.append(mix64(held + np.uint64(k)))
     return symbols, contexts, word
 
 
@@ -258,16 +277,21 @@ def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 19) -> Iterator[sl
     yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
-def _run(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], train: bool) -> np.ndarray:
+def _log2(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
     """log2 of the probability of each symbol."""
     out = np.zeros(len(symbols))
     for s in _steps(code, symbols):
         of, node, bit = code.expand(symbols[s])
-        log = mixer.predict([c[s] for c in contexts], of, node, bit, train)
-        out[s] = np.bincount(of, log, s.stop - s.start)
+        out[s] = np.bincount(of, mixer.predict([c[s] for c in contexts], of, node, bit), s.stop - s.start)
     return out
 
 
+def _learn(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
+    for s in _steps(code, symbols):
+        of, node, bit = code.expand(symbols[s])
+        mixer.learn([c[s] for c in contexts], of, node, bit)
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -358,11 +382,11 @@ def _train(vocabulary: Vocabulary):
                 words = Words(part.column("text"))
                 codes, kinds, spot = _kinds(words)
                 symbols, contexts, _, _ = _encode(words, vocabulary, codes, kinds)
-                _run(word_mixer, vocabulary.words, symbols, contexts, True)
+                _learn(word_mixer, vocabulary.words, symbols, contexts)
                 rare = spot[vocabulary.symbols(kinds) == vocabulary.escape]
                 if len(rare):
                     letters, contexts, _ = _letters(words.data, words.starts[rare], words.ends[rare])
-                    _run(letter_mixer, vocabulary.spelling, letters, contexts, True)
+                    _learn(letter_mixer, vocabulary.spelling, letters, contexts)
         if not any_:
             return
         for level, mixer in enumerate((word_mixer, letter_mixer)):
@@ -383,7 +407,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         level, p, chunk = key
-        data = total if p < 0 else freeze(np.minimum(total, 2**31 - 1).astype(np.int64))
+        data = total
+        if p >= 0:
+            odds, sure = _log_odds(total)
+            data = (np.round(odds * 1024).astype(np.int32) << 2) | sure.astype(np.int32)
         return pa.record_batch({"level": pa.array([level]), "p": pa.array([p]), "chunk": pa.array([chunk]), "data": pa.array([data.tobytes()], pa.binary())})
 
     for batch in batches:
@@ -450,13 +477,14 @@ def fit_language_model(docs: DataFrame, vocabulary: int = 65_000) -> tuple[Langu
     )
     mixers = []
     for slots in (WORD_SLOTS, LETTER_SLOTS):
-        empty = freeze(np.zeros((1, 2), np.int64))[0]
-        mixers.append(Mixer(slots, odds=[np.full(1 << b, empty, np.int16) for b in slots]))
+        sizes = [1 << b for b in slots]
+        mixers.append(Mixer(slots, odds=[np.zeros(n, np.float32) for n in sizes], sure=[np.zeros(n, np.int8) for n in sizes]))
     for r in written(rows, "model").toLocalIterator():
         mixer = mixers[r["level"]]
         if r["p"] >= 0:
-            cells = np.frombuffer(r["data"], np.int16)
-            mixer.odds[r["p"]][r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(cells)] = cells
+            packed = np.frombuffer(r["data"], np.int32)
+            cells = slice(r["chunk"] * CHUNK, r["chunk"] * CHUNK + len(packed))
+            mixer.odds[r["p"]][cells], mixer.sure[r["p"]][cells] = (packed >> 2) / 1024, packed & 3
         else:
             tail = np.frombuffer(r["data"], np.float64)
             cut = 1 + mixer.weights.size
@@ -479,13 +507,13 @@ def _score(model: LanguageModel, buckets: int):
                 words = Words(part.column("text"))
                 codes, kinds, spot = _kinds(words)
                 symbols, contexts, doc, is_word = _encode(words, v, codes, kinds)
-                log = _run(model.words, v.words, symbols, contexts, False)
+                log = _log2(model.words, v.words, symbols, contexts)
                 kind_symbols = v.symbols(kinds)
                 rare = np.flatnonzero(kind_symbols == v.escape)
                 spelled = np.zeros(len(kinds))
                 if len(rare):
                     letters, near, of = _letters(words.data, words.starts[spot[rare]], words.ends[spot[rare]])
-                    spelled[rare] = np.bincount(of, _run(model.letters, v.spelling, letters, near, False), len(rare))
+                    spelled[rare] = np.bincount(of, _log2(model.letters, v.spelling, letters, near), len(rare))
                 log[is_word] += spelled[codes]
                 m = part.num_rows
                 known = is_word & (symbols < v.end)
