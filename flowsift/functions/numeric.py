@@ -39,18 +39,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def sign_code(vector: Column, dims: int) -> Column:
-    """One bit per dimension of a float vector: set where the value is positive."""
-    bits = [
-        F.when(F.get(vector, F.lit(i)) > 0, F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("bigint"))
-        for i in range(dims)
-    ]
-    code = bits[0].cast("bigint")
-    for bit in bits[1:]:
-        code = code.bitwiseOR(bit.cast("bigint"))
-    return code
-
-
-def _signed(value: int) -> int:
-    value &= (1 << 64) - 1
-    return value - (1 << 64) if value >> 63 else value
+def sign_code(vector: Column) -> Column:
+    """One bit per dimension of a float vector, set where the value is positive.
+
+    An array of 64-bit words, as many as the vector's own length needs; bit 0 of
+    word 0 is the first dimension. An empty vector has no words.
+    """
+    words = F.sequence(F.lit(0), F.ceil(F.size(vector) / 64).cast("int") - 1)
+
+    def word(w: Column) -> Column:
+        part = F.slice(vector, w * 64 + 1, F.lit(64))
+        bits = F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    return F.when(F.size(vector) > 0, F.transform(words, word)).when(F.size(vector) == 0, F.array().cast("array<bigint>"))
+
+
+def hamming_words(a: Column, b: Column) -> Column:
+    """Number of differing bits of two arrays of words of equal length."""
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda total, n: total + n)

@@ -79,6 +79,8 @@ class Vocabularies:
                 continue
             head = table.limit(BROADCAST_ROWS + 1).persist()
             rows = head.count()
+            if rows > BROADCAST_ROWS:
+                rows = table.count()  # all of it: the code of unseen values comes after the last
             if rows <= BROADCAST_ROWS:
                 local = table.sparkSession.createDataFrame(head.toPandas(), table.schema) if rows else table
                 setattr(self, name, local)

@@ -323,15 +323,16 @@ def encode_runs(
 
 
 def quantizer_report(params: DataFrame) -> DataFrame:
-    """Per feature: class, bits, levels and its rank by bits (top ten)."""
+    """Of every fitted feature: class, bits and number of levels."""
     levels = F.when(F.col("type") == "categorical", F.size("categories")).otherwise(F.size("thresholds"))
-    return (
-        params.select(
-            "feature",
-            F.when(F.col("type") == "categorical", "categorical").otherwise("continuous").alias("kind"),
-            "bits",
-            levels.cast("int").alias("levels"),
-        )
-        .orderBy(F.desc("bits"), "feature")
-        .limit(10)
+    return params.select(
+        "feature",
+        F.when(F.col("type") == "categorical", "categorical").otherwise("continuous").alias("kind"),
+        "bits",
+        levels.cast("int").alias("levels"),
     )
+
+
+def top_bits(params: DataFrame, n: int = 10) -> DataFrame:
+    """The n features with the widest bins."""
+    return quantizer_report(params).orderBy(F.desc("bits"), "feature").limit(n)

@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.coerce import coerce_label, double_or, protocol_code, read_long
-from flowsift.functions.numeric import grid, hamming, sign_code
+from flowsift.functions.numeric import grid, hamming_words, sign_code
 from flowsift.operators import analysis, baselines, evaluate, lsh
 from flowsift.operators import features as feats
 from flowsift.operators.outliers import local_outlier_factor
-from flowsift.operators.quantizer import quantizer_params, quantizer_report
+from flowsift.operators.quantizer import quantizer_params, quantizer_report, top_bits
 from flowsift.operators.sampling import sample_n, stratified_sample, with_label
 from flowsift.operators.verdict import with_verdict
 from flowsift.plans import experiments
 from flowsift.plans.detector import FlowDetector, fit_flow_detector, fit_flow_detector_v1
 from flowsift.schema import FEATURES, LSH_V1, LSH_V2, OPTIMIZED_FEATURES, QUANTIZER_V1, QUANTIZER_V2, VECTOR8
 from flowsift.sources import results
-from flowsift.sources.flows import event_flows, flows_from_events
-from flowsift.streaming.score import StreamSinks, read_output, recent_rate, running_metrics, score_stream
+from flowsift.sources.flows import event_flows, flows_from_events, read_flows
+from flowsift.streaming.score import StreamSinks, anomalies_per_minute, read_output, recent_rate, running_metrics, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
@@ -125,19 +125,31 @@ def _queries_hashed(spark: SparkSession, sf_dir: str) -> tuple[lsh.LshModel, Dat
 
 
 def flow_scan(spark, sf_dir):
-    return rounded(event_flows(spark, sf_dir), "dur", "rate", "sload", "dload")
+    """The flows stored as a table and scanned with a fixed schema."""
+    flows, folder = event_flows(spark, sf_dir), results.work_folder(spark, "flows")
+    flows.write.parquet(folder)
+    return rounded(read_flows(spark, folder, schema=flows.schema), "dur", "rate", "sload", "dload")
 
 
 def prediction_detail(spark, sf_dir):
-    return rounded(evaluate.prediction_detail(predictions(spark, sf_dir)), "score")
+    """Written per model and read back."""
+    folder = results.work_folder(spark, "detail")
+    results.write_detail(evaluate.prediction_detail(predictions(spark, sf_dir)), folder)
+    return rounded(spark.read.parquet(folder), "score")
 
 
-def anomalous_flows(spark, sf_dir):
+def _stored_anomalies(spark, sf_dir):
+    """Flagged flows appended to a stored table, and read from it."""
+    folder = results.work_folder(spark, "anomalies")
     d = detector(spark, sf_dir)
     keep = ("proto", "service", "state", "sbytes", "dbytes", "spkts", "dpkts")
     scored = d.score(test_flows(spark, sf_dir), ("label", "ts", *keep))
-    out = evaluate.anomalous_flows(scored, F.col("ts")).drop("label", "ts")
-    return rounded(out, "detection_score")
+    results.write_anomalies(evaluate.anomalous_flows(scored, F.col("ts")).drop("label", "ts"), folder)
+    return spark.read.parquet(folder)
+
+
+def anomalous_flows(spark, sf_dir):
+    return rounded(_stored_anomalies(spark, sf_dir), "detection_score")
 
 
 def run_performance(spark, sf_dir):
@@ -150,7 +162,10 @@ def enriched_flow_table(spark, sf_dir):
     flows = event_flows(spark, sf_dir)
     train = feats.enrich(flows.where("split = 'train'"), True)
     test = feats.enrich(flows.where("split = 'test'"), False)
-    out = rounded(train.unionByName(test), "dur", "rate").drop("flow_description")
+    out = rounded(train.unionByName(test), "dur", "rate")
+    # Its JSON text, without the two floats that engines print differently.
+    out = out.withColumn("flow_description", F.regexp_replace("flow_description", '"(dur|rate)":[^,}]*,', ""))
+    out = out.withColumn("flow_description", F.regexp_replace("flow_description", '"[0-9a-f]{32}"', '"hashed"'))
     # The id 0 is falsy, so that record is named by its content.
     return out.withColumn("flow_id", F.when(F.length("flow_id") == 32, "hashed").otherwise(F.col("flow_id")))
 
@@ -212,11 +227,10 @@ def flow_vector8(spark, sf_dir):
 
 
 def content_id(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    """Ids of whole records: the own id, and the hash that a record without one gets."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(
-        "event_id",
-        feats.content_id(events, ["user_id", "event_type"], "event_id").alias("own_id"),
-        feats.content_id(events, ["user_id", "event_type"], "none").alias("content_hash"),
+        "event_id", feats.content_id(events, id_column="event_id").alias("own_id"), feats.content_id(events, id_column="none").alias("content_hash")
     )
 
 
@@ -258,6 +272,10 @@ def report(spark, sf_dir):
     return quantizer_report(quantizer_params(_train_features(spark, sf_dir, "v1"), QUANTIZER_V1))
 
 
+def widest_features(spark, sf_dir):
+    return top_bits(quantizer_params(_train_features(spark, sf_dir, "v1"), QUANTIZER_V1))
+
+
 def quantized_bins(spark, sf_dir):
     d = detector(spark, sf_dir)
     binned = d.quantizer.with_bins(d.features(test_flows(spark, sf_dir)))
@@ -274,7 +292,9 @@ def flow_embedding_v1(spark, sf_dir):
 
 
 def vector_sign_code(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", sign_code(F.col("embedding"), 64).alias("code"))
+    """Words of the codes, one row each."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.select("vec_id", F.posexplode(sign_code(F.col("embedding"))).alias("word", "code"))
 
 
 def lsh_keys(spark, sf_dir):
@@ -291,10 +311,10 @@ def lsh_index(spark, sf_dir):
 def hamming_distance(spark, sf_dir):
     """Distance of each vector's sign code to the first vector of its class."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    codes = vectors.select("vec_id", "label", sign_code(F.col("embedding"), 64).alias("code"))
+    codes = vectors.select("vec_id", "label", sign_code(F.col("embedding")).alias("code"))
     first = codes.groupBy("label").agg(F.min_by("code", "vec_id").alias("first_code"))
     # one row per class label; Spark picks the join from its run-time size
-    return codes.join(first, "label").select("vec_id", hamming(F.col("code"), F.col("first_code")).cast("int").alias("distance"))
+    return codes.join(first, "label").select("vec_id", hamming_words(F.col("code"), F.col("first_code")).cast("int").alias("distance"))
 
 
 def _stats(spark, sf_dir, version, spec):
@@ -421,13 +441,12 @@ def top_features(spark, sf_dir):
 
 
 def anomaly_rate_per_minute(spark, sf_dir):
-    flagged = predictions(spark, sf_dir).where("is_anomaly")
-    minutes = flagged.groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("anomalies"))
-    return rounded(recent_rate(minutes), "recent_rate")
+    minutes = anomalies_per_minute(predictions(spark, sf_dir).where("is_anomaly"), time="ts")
+    return rounded(recent_rate(minutes.withColumn("minute", F.col("minute").cast("timestamp_ntz"))), "recent_rate")
 
 
 def anomaly_history(spark, sf_dir):
-    return results.anomaly_history(evaluate.anomalous_flows(predictions(spark, sf_dir), F.col("ts")))
+    return results.anomaly_history(_stored_anomalies(spark, sf_dir))
 
 
 # ------------------------------------------------- baselines and all models
@@ -581,6 +600,7 @@ QUERIES: dict[str, Query] = {
     "quantizer_params": params_v2,
     "quantizer_params_v1": params_v1,
     "quantizer_report": report,
+    "top_bits": widest_features,
     "quantized_bins": quantized_bins,
     "flow_embedding": flow_embedding,
     "flow_embedding_v1": flow_embedding_v1,

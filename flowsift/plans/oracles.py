@@ -5,7 +5,7 @@ from __future__ import annotations
 from flowsift.operators.lsh import HashFamily
 from flowsift.plans import sql_steps as S
 from flowsift.schema import (
-    EXPERIMENT_SEEDS, FEATURES, LSH_MODEL, LSH_V1, LSH_V2, OPTIMIZED_FEATURES, QUANTIZER_V1, QUANTIZER_V2, VECTOR8,
+    EXPERIMENT_SEEDS, FEATURES, LSH_MODEL, LSH_V1, LSH_V2, OPTIMIZED_FEATURES, QUANTIZER_V1, QUANTIZER_V2, VECTOR8, VECTOR8_TEXT,
 )
 
 G = S.grid
@@ -24,13 +24,12 @@ def rounded(names) -> str:
     return ", ".join(f"{G(n)} AS {n}" if n in WHOLE else n for n in names)
 
 
-def sign_code() -> str:
-    parts = []
-    for i in range(64):
-        bit = 1 << i if i < 63 else -(1 << 63)
-        text = f"({bit})::BIGINT" if i < 63 else "(-9223372036854775807 - 1)::BIGINT"
-        parts.append(f"CASE WHEN embedding[{i + 1}] > 0 THEN {text} ELSE 0::BIGINT END")
-    return " | ".join(parts)
+SIGN_WORDS = """signs AS (
+  SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings
+), words AS (
+  SELECT vec_id, label, (i // 64)::INT AS word,
+    sum(CASE WHEN x > 0 THEN CASE WHEN i % 64 = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i % 64)::INT) END ELSE 0::HUGEINT END)::BIGINT AS code
+  FROM signs GROUP BY vec_id, label, i // 64)"""
 
 
 def params_rows(cte: str) -> str:
@@ -43,9 +42,20 @@ FROM (SELECT *, coalesce(thresholds, categories) AS lv FROM params) p,
 def report(cte: str) -> str:
     return f"""{cte}
 SELECT feature, CASE WHEN type = 'categorical' THEN 'categorical' ELSE 'continuous' END AS kind, bits,
-  len(coalesce(thresholds, categories))::INT AS levels FROM params ORDER BY bits DESC, feature LIMIT 10"""
+  len(coalesce(thresholds, categories))::INT AS levels FROM params"""
 
 
+# The record as JSON with sorted keys, after its id.
+EVENT_JSON = (
+    """'"event_type":"' || event_type || '","props":"' || replace(props, '"', chr(92) || '"') || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') """
+    """|| '","user_id":' || user_id || ',"value":' || CAST(value AS VARCHAR) || '}'"""
+)
+FLOW_JSON = "'{' || " + " || ',' || ".join(
+    f"""'"{n}":' || CAST({n}::DOUBLE AS VARCHAR)""" if n in VECTOR8 else
+    {"flow_id": """'"flow_id":"' || CASE WHEN id = 0 THEN 'hashed' ELSE CAST(id AS VARCHAR) END || '"'""", "label": """'"label":' || label""",
+     "is_anomaly": """'"is_anomaly":' || CASE WHEN label = 1 THEN 'true' ELSE 'false' END"""}.get(n, f"""'"{n}":"' || {n} || '"'""")
+    for n in sorted({*VECTOR8, *VECTOR8_TEXT, "flow_id", "label", "is_anomaly"} - {"dur", "rate"})
+) + " || '}'"
 METRIC_COUNTS = """
   sum(CASE WHEN is_anomaly AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS tp,
   sum(CASE WHEN is_anomaly AND label = 0 THEN 1 ELSE 0 END)::BIGINT AS fp,
@@ -164,7 +174,7 @@ def sql() -> dict[str, str]:
                            "t.proto, t.service, t.state, t.sbytes, t.dbytes, t.spkts, t.dpkts FROM predictions p JOIN test t ON t.id = p.id WHERE p.is_anomaly",
         "run_performance": f"{P2} SELECT model, 'run-42' AS run_ts, 42 AS random_seed, total_samples AS flows_processed, {RATES}, {G('roc_auc')} AS roc_auc, total_samples, anomalies_detected, true_anomalies FROM full_metrics",
         "enriched_flow_table": f"{flows} SELECT " + ", ".join(f"{G(n)} AS {n}" if n in ("dur", "rate") else f"{n}::DOUBLE AS {n}" for n in VECTOR8)
-                               + ", proto, service, state, CASE WHEN id = 0 THEN 'hashed' ELSE CAST(id AS VARCHAR) END AS flow_id, label, label = 1 AS is_anomaly, 0.0e0 AS anomaly_score, split = 'train' AS training_set FROM flows",
+                               + f", proto, service, state, CASE WHEN id = 0 THEN 'hashed' ELSE CAST(id AS VARCHAR) END AS flow_id, label, label = 1 AS is_anomaly, {FLOW_JSON} AS flow_description, 0.0e0 AS anomaly_score, split = 'train' AS training_set FROM flows",
         # projections
         "coerce_double": f"{flows} SELECT id, CASE WHEN smean IN ('-', '', 'nan') THEN -1.0e0 ELSE coalesce(try_cast(smean AS DOUBLE), -1.0e0) END AS value FROM flows",
         "coerce_int": f"{flows} SELECT id, CASE WHEN smean IN ('-', '', 'nan') THEN 0 ELSE coalesce(trunc(try_cast(smean AS DOUBLE))::BIGINT, 0) END::BIGINT AS value, trunc(dur)::BIGINT AS whole_seconds FROM flows",
@@ -178,7 +188,8 @@ def sql() -> dict[str, str]:
         "feature_matrix": f"{ALL} SELECT id, (u.p - 1)::INT AS pos, {G('u.v')} AS value FROM (SELECT id, [{matrix}] AS m FROM feats) f, LATERAL (SELECT unnest(range(1, 10)) AS p, unnest(f.m) AS v) u",
         "feature_long": f"{ALL} SELECT id, feature, {G('value')} AS value FROM ({S.unpivot('feats', OPTIMIZED_FEATURES)})",
         "flow_vector8": f"{flows} SELECT id, " + ", ".join(f"{G(n)} AS {n}" if n in ("dur", "rate") else f"{n}::DOUBLE AS {n}" for n in VECTOR8) + ", proto, service, state FROM flows",
-        "content_id": "SELECT event_id, CASE WHEN event_id <> 0 THEN CAST(event_id AS VARCHAR) ELSE md5(concat('{\"event_type\":\"', event_type, '\",\"user_id\":', CAST(user_id AS VARCHAR), '}')) END AS own_id, md5(concat('{\"event_type\":\"', event_type, '\",\"user_id\":', CAST(user_id AS VARCHAR), '}')) AS content_hash FROM events",
+        "content_id": f"SELECT event_id, CASE WHEN event_id <> 0 THEN CAST(event_id AS VARCHAR) ELSE md5('{{' || {EVENT_JSON}) END AS own_id, "
+                      f"md5('{{\"event_id\":' || event_id || ',' || {EVENT_JSON}) AS content_hash FROM events",
         "flow_match_key": f"{flows} SELECT id, concat('ip_src=192.168.1.1,ip_dst=192.168.1.2', CASE lower(proto) WHEN 'tcp' THEN ',ip_proto=6,tcp_src=80,tcp_dst=443' WHEN 'udp' THEN ',ip_proto=17,udp_src=80,udp_dst=443' ELSE '' END) AS match_key FROM flows",
         # filters and samples
         "normal_flows": f"{flows} SELECT id, label FROM flows WHERE label = 0",
@@ -190,16 +201,16 @@ def sql() -> dict[str, str]:
         "quantizer_params": params_rows(V2),
         "quantizer_params_v1": params_rows(V1),
         "quantizer_report": report(V1),
+        "top_bits": report(V1) + " ORDER BY bits DESC, feature LIMIT 10",
         "quantized_bins": f"{V2} SELECT id, feature, bin FROM test_bins",
         "flow_embedding": f"{V2} SELECT id, embedding FROM test_codes UNION ALL SELECT id, embedding FROM train_codes",
         "flow_embedding_v1": f"{V1} SELECT id, embedding FROM test_codes UNION ALL SELECT id, embedding FROM train_codes",
-        "vector_sign_code": f"SELECT vec_id, {sign_code()} AS code FROM embeddings",
+        "vector_sign_code": f"WITH {SIGN_WORDS} SELECT vec_id, word, code FROM words",
         # index and verdict
         "lsh_keys": f"{V2} SELECT code AS embedding, t::INT AS table_idx, hash_key::INT AS hash_key FROM qkeys",
         "lsh_index": f"{V2} SELECT t::INT AS table_idx, hash_key::INT AS hash_key, code AS embedding, n_flows, first_pos FROM idx",
-        "hamming_distance": f"WITH coded AS (SELECT vec_id, label, {sign_code()} AS code FROM embeddings), "
-                            "firsts AS (SELECT label, arg_min(code, vec_id) AS first_code FROM coded GROUP BY label) "
-                            "SELECT vec_id, bit_count(xor(code, first_code))::INT AS distance FROM coded JOIN firsts USING (label)",
+        "hamming_distance": f"WITH {SIGN_WORDS}, firsts AS (SELECT label, word, arg_min(code, vec_id) AS first_code FROM words GROUP BY label, word) "
+                            "SELECT vec_id, sum(bit_count(xor(code, first_code)))::INT AS distance FROM words JOIN firsts USING (label, word) GROUP BY vec_id",
         "distance_stats": f"{V2} SELECT {', '.join(f'{G(c)} AS {c}' for c in ('mean', 'std', 'p10', 'p25', 'p50', 'p75', 'p90'))} FROM stats",
         "distance_stats_v1": f"{V1} SELECT {', '.join(f'{G(c)} AS {c}' for c in ('mean', 'std'))} FROM stats",
         "anomaly_threshold": f"{V2} SELECT {G('threshold')} AS threshold FROM stats",
