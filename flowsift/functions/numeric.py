@@ -28,7 +28,7 @@ def seeded_key(seed: Column | int, ident: Column) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit(":"), ident.cast("string")))
 
 
-def uniform(seed: int, ident: Column) -> Column:
+def uniform(seed: int | Column, ident: Column) -> Column:
     """Reproducible uniform draw in [0, 1) from the seeded key."""
     head = F.conv(F.substring(seeded_key(seed, ident), 1, 8), 16, 10).cast("double")
     return head / F.lit(4294967296.0)

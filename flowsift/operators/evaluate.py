@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.held import hold
 from flowsift.operators.quantiles import cumulative
 
 RATES = ("accuracy", "precision", "recall", "f1_score")
@@ -54,9 +55,9 @@ def roc_auc(predictions: DataFrame, by: Sequence[str] = ("model",), one_class: f
     bucketed when the distinct scores are many.
     """
     positive = F.when(F.col("label") == 1, 1).otherwise(0)
-    counts = predictions.groupBy(*by, F.col("score").alias("value")).agg(
+    counts = hold(predictions.groupBy(*by, F.col("score").alias("value")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
-    ).persist()
+    ))
     ranked = cumulative(counts, by, sums=("neg",))
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
     sums = ranked.groupBy(*by).agg(

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowsift.functions.held import hold
 from flowsift.functions.numeric import hamming, seeded_key
 from flowsift.functions.runs import attach_run
 from flowsift.operators.sampling import sample_n
@@ -432,8 +433,8 @@ def knn(model: LshModel, codes: DataFrame) -> DataFrame:
     spec = model.spec
     # Both are read more than once: the queries by join, probe and result, the
     # neighbours by the result and by the search for queries without any.
-    queries = model.hash(codes.select("run", "embedding").distinct()).persist()
-    exact = nearest(bucket_pairs(model, queries), spec.neighbours).withColumn("probed", F.lit(False)).persist()
+    queries = hold(model.hash(codes.select("run", "embedding").distinct()))
+    exact = hold(nearest(bucket_pairs(model, queries), spec.neighbours).withColumn("probed", F.lit(False)))
     found = exact
     if spec.probe_tables and model.probes:
         missed = queries.join(exact.select("run", F.col("query").alias("embedding")), ["run", "embedding"], "left_anti")

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.held import hold
 from flowsift.operators.quantiles import exact_quantiles
 from flowsift.operators.sampling import sample_n
 from flowsift.schema import LOF_MODEL
@@ -221,8 +222,9 @@ def local_outlier_factor(
     factors is flagged.
     """
     rows = vectors.select(F.col(ident).alias("row_id"), "features")
-    points = rows.groupBy("features").agg(F.min("row_id").alias("id"), F.count("*").alias("copies")).select("id", "features", "copies").persist()
-    near = nearest_neighbours(points, k).persist()
+    points = rows.groupBy("features").agg(F.min("row_id").alias("id"), F.count("*").alias("copies")).select("id", "features", "copies")
+    points = hold(points)
+    near = hold(nearest_neighbours(points, k))
     k_distance = near.select("id", F.element_at("rows", -1)["d"].alias("k_distance"))
     pairs = near.select("id", F.explode("rows").alias("r")).select("id", "r.nb", "r.d", "r.w")
     reach = pairs.join(k_distance.withColumnRenamed("id", "nb"), "nb").select(
@@ -230,10 +232,10 @@ def local_outlier_factor(
     )
     density = reach.groupBy("id").agg((F.lit(1.0) / (F.sum(F.col("reach") * F.col("w")) / F.sum("w") + 1e-10)).alias("lrd"))
     around = reach.select("id", "nb", "w").join(density.withColumnRenamed("id", "nb"), "nb")
-    factor = (
+    factor = hold(
         around.groupBy("id").agg((F.sum(F.col("lrd") * F.col("w")) / F.sum("w")).alias("mean_lrd"))
         .join(density, "id").select("id", (F.col("mean_lrd") / F.col("lrd")).alias("factor"))
-    ).persist()
+    )
     scored = rows.join(points.select("id", "features"), "features").join(factor, "id").select(
         F.col("row_id").alias(ident), "factor"
     )

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from flowsift.functions.held import hold
 from pyspark.sql.window import Window
 
 # Distinct (group, value) rows that one window per group may handle.
@@ -184,7 +185,7 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     keys = list(by) or ["__all"]
     keyed = df if by else df.withColumn("__all", F.lit(0))
     keyed = keyed.select(*keys, F.col(value).cast("double").alias("value")).where(~F.isnan("value"))
-    counts = value_counts(keyed, keys).persist()
+    counts = hold(value_counts(keyed, keys))
     totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("rows"))
     ranked = cumulative(counts, keys).join(F.broadcast(totals), keys)
     out = point_values(ranked, keys, points, F.col("rows"))

@@ -44,7 +44,7 @@ def verdict_columns(spec: LshSpec, draw: Column | None = None) -> tuple[Column,
     )
 
 
-def with_verdict(neighbours: DataFrame, model: LshModel, seed: int | None = None, ident: str | None = None) -> DataFrame:
+def with_verdict(neighbours: DataFrame, model: LshModel, seed: int | Column | None = None, ident: str | None = None) -> DataFrame:
     """Add ``is_anomaly`` and ``score`` to rows that carry a kNN summary.
 
     ``seed`` and ``ident`` turn on the random criterion per row.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.coerce import coerce_label, double_or, protocol_code, read_long
+from flowsift.functions.held import held_tables
 from flowsift.functions.numeric import grid, hamming_words, sign_code
 from flowsift.operators import analysis, baselines, evaluate, lsh
 from flowsift.operators import features as feats
@@ -40,6 +41,14 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
     return _shared[key]
 
 
+def _kept(make: Callable[[], DataFrame]) -> DataFrame:
+    """A cached result, without the tables that were cached on the way to it."""
+    with held_tables():
+        out = make().persist()
+        out.count()
+    return out
+
+
 def forget() -> None:
     """Drop shared models, so the next query fits its own."""
     for value in _shared.values():
@@ -65,25 +74,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored test flows with label and time."""
     return _once(
         spark, sf_dir, "predictions",
-        lambda: detector(spark, sf_dir).score(test_flows(spark, sf_dir), ("label", "ts")).persist(),
+        lambda: _kept(lambda: detector(spark, sf_dir).score(test_flows(spark, sf_dir), ("label", "ts"))),
     )
 
 
 def seed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark, sf_dir, "seed_metrics",
-        lambda: experiments.metrics_per_seed(
+        lambda: _kept(lambda: experiments.metrics_per_seed(
             experiments.predict_over_seeds(normal_train(spark, sf_dir), test_flows(spark, sf_dir))
-        ).persist(),
+        )),
     )
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark, sf_dir, "ablation",
-        lambda: experiments.feature_ablation(
+        lambda: _kept(lambda: experiments.feature_ablation(
             detector(spark, sf_dir, "v1"), normal_train(spark, sf_dir), test_flows(spark, sf_dir)
-        ).persist(),
+        )),
     )
 
 

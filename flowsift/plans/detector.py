@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsift.functions.held import hold
 from flowsift.operators.features import Vocabularies, flow_features
 from flowsift.operators.lsh import LshModel, fit_lsh, knn
 from flowsift.operators.quantizer import QuantizerModel, fit_quantizer
@@ -51,7 +52,7 @@ class FlowDetector:
         # Kept columns travel in a struct: some share their name with a feature.
         packed = flows.withColumn("__kept", F.struct(*[F.col(c) for c in keep])) if keep else flows
         coded = self.codes(packed, ("id", "__kept") if keep else ("id",))
-        counted = coded.groupBy("run", "embedding").agg(F.count("*").alias("n_flows")).persist()
+        counted = hold(coded.groupBy("run", "embedding").agg(F.count("*").alias("n_flows")))
         size = counted.agg(F.count("*").alias("codes"), F.sum("n_flows").alias("flows")).first()
         summary = knn(self.lsh, counted)
         if size["codes"] <= BROADCAST_VERDICTS:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from flowsift.functions.held import held_tables, hold
 from flowsift.functions.coerce import coerce_label
 from flowsift.operators.evaluate import anomalous_flows, classification_metrics, prediction_detail
 from flowsift.plans.detector import FlowDetector
@@ -61,14 +62,14 @@ def score_stream(stream: DataFrame, detector: FlowDetector, root: str, available
     columns = [f.name for f in stream.schema if f.name != "id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scored = detector.score(batch, tuple(columns)).persist()
-        kept = [c for c in ("id", "ts") if c in scored.columns]
-        prediction_detail(scored, kept).write.mode("overwrite").parquet(f"{sinks.detail}/batch_id={batch_id}")
-        anomalous_flows(scored, F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{sinks.anomalies}/batch_id={batch_id}"
-        )
-        classification_metrics(scored).write.mode("overwrite").parquet(f"{sinks.performance}/batch_id={batch_id}")
-        scored.unpersist()
+        with held_tables():
+            scored = hold(detector.score(batch, tuple(columns)))
+            kept = [c for c in ("id", "ts") if c in scored.columns]
+            prediction_detail(scored, kept).write.mode("overwrite").parquet(f"{sinks.detail}/batch_id={batch_id}")
+            anomalous_flows(scored, F.current_timestamp()).write.mode("overwrite").parquet(
+                f"{sinks.anomalies}/batch_id={batch_id}"
+            )
+            classification_metrics(scored).write.mode("overwrite").parquet(f"{sinks.performance}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", sinks.checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

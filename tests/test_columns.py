@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.functions.coerce import double_or, read_long
-from flowsift.functions.numeric import hamming, sign_code
-from flowsift.operators import sampling
+from flowsift.functions.numeric import hamming, hamming_words, sign_code
+from flowsift.operators import features, sampling
 from flowsift.operators.features import Vocabularies, content_id, enrich, flow_features, flow_match_key
 from flowsift.sources.flows import read_flows
 
@@ -53,6 +53,24 @@ def test_unseen_category(spark):
     assert got == {3: 3, 4: 2}
 
 
+def test_unseen_category_above_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 2)
+    train = spark.createDataFrame([(i, f"s{i}") for i in range(6)], "id bigint, service string")
+    vocab = Vocabularies.learn(train, with_state=False).freeze()
+    got = vocab.encode(spark.createDataFrame([(9, "new"), (10, "s3")], "id bigint, service string")).collect()
+    assert {r["id"]: r["service_encoded"] for r in got} == {9: 7, 10: 4}
+
+
+def test_sign_code_of_any_length(spark):
+    for n in (0, 1, 64, 65, 128, 200):
+        v = [1.0 if (i * i) % 7 in (1, 2) else -1.0 for i in range(n)]
+        row = spark.createDataFrame([(v,)], "v array<float>").select(sign_code(F.col("v")).alias("c")).first()
+        words = [sum(1 << i for i, x in enumerate(v[k : k + 64]) if x > 0) for k in range(0, n, 64)]
+        assert [w % 2**64 for w in row["c"]] == words
+    two = spark.createDataFrame([([0, -1], [0, 1])], "a array<bigint>, b array<bigint>")
+    assert two.select(hamming_words(F.col("a"), F.col("b"))).first()[0] == 63
+
+
 def test_match_key(spark):
     df = spark.createDataFrame(
         [(1, "10.0.0.1", "tcp", 1234), (2, "", "UDP", 0), (3, "10.0.0.3", "icmp", 5), (4, "x", None, 1)],

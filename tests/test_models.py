@@ -182,3 +182,39 @@ def test_detector_paths_agree(spark, monkeypatch, tmp_path):
     again = plans.FlowDetector.load(spark, str(tmp_path))
     got = again.score(flows.repartition(7), ("label",)).toPandas().sort_values("id").reset_index(drop=True)
     assert want.equals(got) and len(got) == flows.count()
+
+
+def test_batches_leave_no_cached_tables(spark, tmp_path):
+    from flowsift.functions.held import hold, held_tables
+
+    found = catalog.detector(spark, SMALL)
+    flows = catalog.test_flows(spark, SMALL)
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = cached()
+    for i in range(10):
+        with held_tables():
+            scored = hold(found.score(flows.where(F.col("id") % 10 == i), ("label",)))
+            scored.write.mode("overwrite").parquet(str(tmp_path / "scored"))
+    assert cached() == before
+
+
+def test_svm_score_is_on_the_kernel_scale(spark):
+    from flowsift.operators import baselines
+
+    rng = np.random.RandomState(1)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "id bigint, features array<double>")
+    model = baselines.fit_ocsvm(vectors, nu=0.1, components=64, rounds=3)
+    assert model.scale == pytest.approx(40)
+    raw = {r["id"]: r["raw"] for r in vectors.select("id", model.decision(F.col("features")).alias("raw")).collect()}
+    for r in model.score(vectors).collect():
+        assert r["score"] == pytest.approx(1 - (raw[r["id"]] * 40 + 0.5))
+
+
+def test_forest_draws_from_all_rows(spark):
+    from flowsift.operators import baselines
+
+    vectors = spark.range(5000).selectExpr("id", "array(cast(id as double), cast(id % 7 as double)) AS features")
+    forest = baselines.fit_iforest(vectors, trees=20, sample=64)
+    roots = forest.nodes[forest.nodes["node"] == 0]
+    assert len(roots) == 20 and (roots["size"] == 64).all()
