@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "flow_features", "quantizer_params", "lsh_index", "score_flows", "score_flows_warm",
-    "classification_metrics", "metrics_over_seeds",
+    "classification_metrics", "metrics_over_seeds", "iforest_score", "ocsvm_score", "lof_score", "stream_score", "feature_ablation",
 ]
 
 

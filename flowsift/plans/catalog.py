@@ -106,7 +106,13 @@ def _features(spark: SparkSession, sf_dir: str, optimized: bool = False) -> Data
 
 
 def _train_features(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    return detector(spark, sf_dir, version).features(normal_train(spark, sf_dir))
+    """Training features with their vocabularies alone: no bins, no index."""
+    normal, optimized = normal_train(spark, sf_dir), version == "v2"
+    learned = _once(
+        spark, sf_dir, f"vocabularies-{version}",
+        lambda: feats.Vocabularies.learn(normal, with_state=not optimized).freeze(),
+    )
+    return feats.flow_features(normal, learned, optimized=optimized)
 
 
 def _params_rows(params: DataFrame) -> DataFrame:
