@@ -5,7 +5,7 @@ path of a Huffman tree over the ``vocabulary`` most frequent training words (cou
 exactly over the whole corpus), the end and an escape; an escaped word is spelled, letter by letter, by a
 second tree over bytes. Each decision is predicted by several counters in hashed
 contexts (for words: the word before, the last frequent word, the last two frequent
-words; for letters: two to four letters before; the tree itself is balanced by plain frequency). The counters' log-odds are added with
+words; for letters: one, two, three and five letters before; the tree itself is balanced by plain frequency). The counters' log-odds are added with
 weights of the gate that fits how much the contexts have been seen, and the result is
 refined by a table of outcomes by node class and predicted odds. The sum of
 log2 over all decisions is the text's code length; divided by its bytes it gives bits per byte.
@@ -44,11 +44,13 @@ from flowsift.llm.scratch import ship, written
 from flowsift.llm.words import FOLD, Words, mix64, pieces
 
 SPREAD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (17, 18, 19)
-GATES, ODDS, CLASSES = 27, 24, 64
+WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (16, 17, 18, 19)
+GATES, ODDS, CLASSES = 81, 24, 64
 CHUNK = 1 << 16
-#: A weight's step is taken from every STRIDE-th decision; counters take all.
+#: In large blocks a weight's step is taken from every STRIDE-th decision; counters take all.
 STRIDE = 4
+#: Bytes of text that a task works on at once.
+PIECE = 3 << 19
 
 
 class Code:
@@ -104,7 +106,7 @@ class Mixer:
         if not self.counts and not self.odds:
             self.counts = [np.zeros((1 << b, 2), np.int32) for b in self.slots]
         if self.weights is None:
-            self.weights = np.full((GATES, len(self.slots)), 0.4, np.float32)
+            self.weights = np.full((GATES, len(self.slots)), 0.2, np.float32)
         if self.refine is None:
             self.refine = np.zeros((CLASSES * ODDS, 2), np.int64)
 
@@ -157,19 +159,23 @@ class Mixer:
     def learn(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray) -> None:
         """Predict with what is known so far, step along the error, then count."""
         slots = self._slots(contexts, of, node)
-        some = [slot[::STRIDE] for slot in slots]
+        stride = STRIDE if len(bit) > 50_000 else 1
+        some = [slot[::stride] for slot in slots]
         inputs, gate = self._inputs(some)
         z = self._mix(inputs, gate)
         one = 1 / (1 + np.exp(-z))
-        seen = bit[::STRIDE]
+        seen = bit[::stride]
         error, spread = seen - one, one * (1 - one)
         for p, x in enumerate(inputs):  # a Newton step for each weight of each gate
             pull, bend = np.bincount(gate, error * x, GATES), np.bincount(gate, spread * x * x, GATES)
             self.weights[:, p] += (0.5 / len(inputs) * pull / (bend + 100)).astype(np.float32)
         np.clip(self.weights, -1, 3, out=self.weights)
-        self.refine += np.bincount(_cell(node[::STRIDE], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
+        self.refine += np.bincount(_cell(node[::stride], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
         for counts, slot in zip(self.counts, slots, strict=True):
-            counts += np.bincount(slot * 2 + bit, minlength=2 * len(counts)).reshape(-1, 2).astype(np.int32)
+            if len(bit) < 50_000:
+                np.add.at(counts.reshape(-1), slot * 2 + bit, 1)
+            else:
+                counts += np.bincount(slot * 2 + bit, minlength=2 * len(counts)).reshape(-1, 2).astype(np.int32)
         self.seen += len(bit)
 
 
@@ -213,7 +219,7 @@ class Vocabulary:
 
 
 FREQUENT = 64
-LETTERS = 4
+LETTERS = (1, 2, 3, 5)
 START = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -260,17 +266,17 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     symbols = np.full(len(word), 256)
     symbols[inside] = FOLD[data[(np.repeat(starts, long + 1) + flat)[inside]]]
     contexts, held = [], np.zeros(len(word), np.uint64)
-    for k in range(1, LETTERS + 1):
+    for k in range(1, max(LETTERS) + 1):
         back = np.zeros(len(word), np.uint64)
         back[k:] = symbols[:-k] + 1
         back[flat < k] = 0
         held = held * np.uint64(257) + back
-        if k > 1:
+        if k in LETTERS:
             contexts.append(mix64(held + np.uint64(k)))
     return symbols, contexts, word
 
 
-def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 19) -> Iterator[slice]:
+def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
     """Slices of symbols with about ``limit`` decisions each."""
     at = np.cumsum(code.long[symbols]) // limit
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(symbols)]
@@ -287,9 +293,35 @@ def _log2(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarr
 
 
 def _learn(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
-    for s in _steps(code, symbols):
+    """Small blocks at first, so that the weights follow the first counts; then an eighth of what was seen."""
+    after, at = np.cumsum(code.long[symbols]), 0
+    while at < len(symbols):
+        limit = min(1 << 18, max(1 << 11, mixer.seen // 8))
+        end = int(np.searchsorted(after, (after[at - 1] if at else 0) + limit)) + 1
+        s = slice(at, min(end, len(symbols)))
         of, node, bit = code.expand(symbols[s])
         mixer.learn([c[s] for c in contexts], of, node, bit)
+        at = s.stop
+
+
+class _Spelled:
+    """Kinds of words that a task has spelled already, with their log2; emptied at a million."""
+
+    def __init__(self) -> None:
+        self.names, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.names):
+            return np.zeros(len(names), bool), np.zeros(len(names))
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return self.names[at] == names, self.values[at]
+
+    def add(self, names: np.ndarray, values: np.ndarray) -> None:
+        if len(self.names) > 1_000_000:
+            self.__init__()
+        order = np.argsort(names)
+        at = np.searchsorted(self.names, names[order])
+        self.names, self.values = np.insert(self.names, at, names[order]), np.insert(self.values, at, values[order])
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -372,9 +404,9 @@ def _train(vocabulary: Vocabulary):
     """Online training in a task; its counters in chunks, its weights and refining tables at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_mixer, letter_mixer, any_ = Mixer(WORD_SLOTS), Mixer(LETTER_SLOTS), False
+        word_mixer, letter_mixer, any_, spelled = Mixer(WORD_SLOTS), Mixer(LETTER_SLOTS), False, _Spelled()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 part = part.filter(pa.array(~_held(part)))
                 if not part.num_rows:
                     continue
@@ -383,9 +415,10 @@ def _train(vocabulary: Vocabulary):
                 codes, kinds, spot = _kinds(words)
                 symbols, contexts, _, _ = _encode(words, vocabulary, codes, kinds)
                 _learn(word_mixer, vocabulary.words, symbols, contexts)
-                rare = spot[vocabulary.symbols(kinds) == vocabulary.escape]
-                if len(rare):
-                    letters, contexts, _ = _letters(words.data, words.starts[rare], words.ends[rare])
+                new = np.flatnonzero(~spelled.find(kinds)[0])
+                if len(new):  # the spelling of each kind of word is learned once in a task
+                    spelled.add(kinds[new], np.zeros(len(new)))
+                    letters, contexts, _ = _letters(words.data, words.starts[spot[new]], words.ends[spot[new]])
                     _learn(letter_mixer, vocabulary.spelling, letters, contexts)
         if not any_:
             return
@@ -454,6 +487,7 @@ def fit_language_model(docs: DataFrame, vocabulary: int = 65_000) -> tuple[Langu
         levels, n, kinds = levels + np.frombuffer(r["levels"], np.int64), n + r["n"], kinds + r["kinds"]
     above = np.cumsum(levels[::-1])[::-1]
     level = int(np.argmax(above <= vocabulary)) if (above <= vocabulary).any() else 1023
+    level = max(level, 16)  # words seen once stay escaped, so the escape has their frequency
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -500,10 +534,9 @@ def _score(model: LanguageModel, buckets: int):
     log_base = np.log10(model.counts + 0.1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        none = pa.nulls(1, pa.binary())
+        row, known_spelling = TaskContext.get().partitionId() << 40, _Spelled()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 words = Words(part.column("text"))
                 codes, kinds, spot = _kinds(words)
                 symbols, contexts, doc, is_word = _encode(words, v, codes, kinds)
@@ -511,9 +544,12 @@ def _score(model: LanguageModel, buckets: int):
                 kind_symbols = v.symbols(kinds)
                 rare = np.flatnonzero(kind_symbols == v.escape)
                 spelled = np.zeros(len(kinds))
-                if len(rare):
-                    letters, near, of = _letters(words.data, words.starts[spot[rare]], words.ends[spot[rare]])
-                    spelled[rare] = np.bincount(of, _log2(model.letters, v.spelling, letters, near), len(rare))
+                done, spelled[rare] = known_spelling.find(kinds[rare])
+                new = rare[~done]
+                if len(new):
+                    letters, near, of = _letters(words.data, words.starts[spot[new]], words.ends[spot[new]])
+                    spelled[new] = np.bincount(of, _log2(model.letters, v.spelling, letters, near), len(new))
+                    known_spelling.add(kinds[new], spelled[new])
                 log[is_word] += spelled[codes]
                 m = part.num_rows
                 known = is_word & (symbols < v.end)
@@ -533,12 +569,11 @@ def _score(model: LanguageModel, buckets: int):
                     own = order[cuts[b] : cuts[b + 1]]
                     zero = pa.nulls(1, pa.int64())
                     yield pa.record_batch({
-                        "bucket": pa.array([int(b)]), "row": zero, "doc_id": zero, "n_tokens": zero, "known": zero,
+                        "bucket": pa.array([int(b)]), "row": pa.array([row]), "doc_id": zero, "n_tokens": zero, "known": zero,
                         "base": pa.nulls(1, pa.float64()), "bits": pa.nulls(1, pa.float64()), "bytes": zero,
                         "names": pa.array([names[own].tobytes()], pa.binary()), "rows": pa.array([(rows[own] - row).astype(np.int32).tobytes()], pa.binary()),
-                    } | {"row": pa.array([row])})
+                    })
                 row += m
-        del none
 
     return run
 
