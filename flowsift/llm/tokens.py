@@ -50,7 +50,8 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.names = np.zeros(0, np.uint64)  # sorted hashes of known pieces
+        self.slots = np.zeros(0, np.int64)  # their places in first and long
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
@@ -61,10 +62,17 @@ class PieceEncoder:
             return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and its slot."""
+        if not len(self.names):
+            return np.zeros(len(kinds), bool), np.zeros(len(kinds), np.int64)
+        at = np.minimum(np.searchsorted(self.names, kinds), len(self.names) - 1)
+        return self.names[at] == kinds, self.slots[at]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         encoded = [self._encode(p) for p in pieces]
         long = np.array([len(x) for x in encoded], np.int64)
-        n, total = len(self.at), int(long.sum())
+        n, total = len(self.names), int(long.sum())
         while n + len(keys) > len(self.first):
             self.first, self.long = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.long))
         while self.used + total > len(self.ids):
@@ -72,7 +80,9 @@ class PieceEncoder:
         self.ids[self.used : self.used + total] = np.fromiter((i for x in encoded for i in x), np.uint32, total)
         self.first[n : n + len(keys)] = self.used + np.cumsum(long) - long
         self.long[n : n + len(keys)] = long
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.names, keys[order])
+        self.names, self.slots = np.insert(self.names, at, keys[order]), np.insert(self.slots, at, n + order)
         self.used += total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +135,20 @@ class PieceEncoder:
                 s, e = starts[i:j] - lo, ends[i:j] - lo
                 keys[i:j] = mix64((sums[e] - sums[s]) * _power(_INVERSE, hi - lo)[s] + (e - s).astype(np.uint64))
         codes, kinds = pd.factorize(keys)
-        names = kinds.tolist()
-        if len(self.at) + len(names) > max(CACHE, 2 * len(names)):
+        if len(self.names) + len(kinds) > max(CACHE, 2 * len(kinds)):
             self.clear()
-        new = [k for k, name in enumerate(names) if name not in self.at]
-        if new:
+        known, slots = self._find(kinds)
+        new = np.flatnonzero(~known)
+        if len(new):
             where = np.empty(len(kinds), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            spots = where[new]
+            spots, before = where[new], len(self.names)
             self._learn(
-                [names[k] for k in new],
+                kinds[new],
                 [blob[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)],
             )
-        at = self.at
-        slot = np.array([at[name] for name in names], np.int64)[codes]
+            slots[new] = before + np.arange(len(new))
+        slot = slots[codes]
         long = self.long[slot]
         after = np.cumsum(long)
         index = np.repeat(self.first[slot] - (after - long), long) + np.arange(int(after[-1]))

@@ -23,7 +23,7 @@ FOLD[65:91] += 32
 _VALUES = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64)[FOLD]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -103,7 +103,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.doc_at))
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of whole rows with about ``limit`` bytes of text each."""
     if not batch.num_rows:
         return
