@@ -48,7 +48,7 @@ WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (16, 17, 18, 19)
 GATES, ODDS, CLASSES = 81, 24, 64
 CHUNK = 1 << 16
 #: In large blocks a weight's step is taken from every STRIDE-th decision; counters take all.
-STRIDE = 4
+STRIDE = 8
 #: Bytes of text that a task works on at once.
 PIECE = 3 << 19
 
@@ -78,15 +78,17 @@ class Code:
             bits.append(bit[::-1])
         self.long = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.long) - self.long
-        self.nodes = np.array([x for p in paths for x in p], np.uint64)
+        nodes = np.array([x for p in paths for x in p], np.uint64)
+        self.salts = nodes * TURN
+        self.cells = ((nodes & np.uint64(CLASSES - 1)) * np.uint64(ODDS)).astype(np.int32)
         self.bits = np.array([x for b in bits for x in b], np.int8)
 
-    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all decisions: index of the symbol, node, outcome."""
+    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all decisions: index of the symbol, the node's salt, its class in the refining table, outcome."""
         long = self.long[symbols]
         of = np.repeat(np.arange(len(symbols)), long)
         flat = np.arange(len(of)) + np.repeat(self.first[symbols] - (np.cumsum(long) - long), long)
-        return of, self.nodes[flat], self.bits[flat]
+        return of, np.take(self.salts, flat), np.take(self.cells, flat), np.take(self.bits, flat)
 
 
 @dataclass
@@ -95,8 +97,7 @@ class Mixer:
 
     slots: tuple[int, ...]
     counts: list[np.ndarray] = field(default_factory=list)  # rows: outcomes 0 and 1
-    odds: list[np.ndarray] = field(default_factory=list)  # frozen: log-odds
-    sure: list[np.ndarray] = field(default_factory=list)  # frozen: how much was seen, 0 to 2
+    odds: list[np.ndarray] = field(default_factory=list)  # frozen: log-odds; the last two bits say how much was seen
     weights: np.ndarray | None = None
     refine: np.ndarray | None = None
     seen: int = 0
@@ -110,12 +111,11 @@ class Mixer:
         if self.refine is None:
             self.refine = np.zeros((CLASSES * ODDS, 2), np.int64)
 
-    def _slots(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        salted = node * TURN
+    def _slots(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
         out = []
         for c, b in zip(contexts, self.slots, strict=True):
-            slot = c[of]
-            slot += salted
+            slot = np.take(c, of)
+            slot += salt
             slot *= SPREAD
             slot >>= np.uint64(64 - b)
             out.append(slot.view(np.int64))
@@ -126,39 +126,44 @@ class Mixer:
         inputs, gate = [], None
         for p, slot in enumerate(slots):
             if self.odds:
-                x, sure = self.odds[p][slot], self.sure[p][slot]
+                x = np.take(self.odds[p], slot)
+                sure = (x.view(np.uint32) & np.uint32(3)).astype(np.int8)
             else:
                 x, sure = _log_odds(self.counts[p].view(np.int64).ravel()[slot].view(np.int32).reshape(-1, 2))
             inputs.append(x)
             gate = sure if gate is None else gate * np.int8(3) + sure
-        return inputs, gate
+        return inputs, gate.astype(np.intp)
 
     def _mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for p, x in enumerate(inputs):
-            part = np.ascontiguousarray(self.weights[:, p])[gate]
+            part = np.take(np.ascontiguousarray(self.weights[:, p]), gate)
             part *= x
             z += part
         return np.clip(z, -11, 11, out=z)
 
-    def predict(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    def predict(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log2 of the probability of every outcome."""
-        inputs, gate = self._inputs(self._slots(contexts, of, node))
+        inputs, gate = self._inputs(self._slots(contexts, of, salt))
         z = self._mix(inputs, gate)
-        p1 = 1 / (1 + np.exp(-z))
-        p1 *= np.float32(0.7)
-        p1 += self._refined()[_cell(node, z)]
+        cell = _cell(cell, z)
+        p1 = np.exp(np.negative(z, out=z), out=z)
+        p1 += 1
+        np.divide(np.float32(0.7), p1, out=p1)
+        p1 += np.take(self._refined(), cell)
         np.clip(p1, 1e-5, 1 - 1e-5, out=p1)
-        return np.log2(np.where(bit == 1, p1, 1 - p1))
+        p1 += bit
+        p1 -= 1  # so its absolute value is the outcome's probability
+        return np.log2(np.abs(p1, out=p1), out=p1)
 
     def _refined(self) -> np.ndarray:
         if self._table is None:
             self._table = (0.3 * (self.refine[:, 1] + 8 * _middle()) / (self.refine.sum(1) + 8)).astype(np.float32)
         return self._table
 
-    def learn(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray, bit: np.ndarray) -> None:
+    def learn(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
         """Predict with what is known so far, step along the error, then count."""
-        slots = self._slots(contexts, of, node)
+        slots = self._slots(contexts, of, salt)
         stride = STRIDE if len(bit) > 50_000 else 1
         some = [slot[::stride] for slot in slots]
         inputs, gate = self._inputs(some)
@@ -170,7 +175,7 @@ class Mixer:
             pull, bend = np.bincount(gate, error * x, GATES), np.bincount(gate, spread * x * x, GATES)
             self.weights[:, p] += (0.5 / len(inputs) * pull / (bend + 100)).astype(np.float32)
         np.clip(self.weights, -1, 3, out=self.weights)
-        self.refine += np.bincount(_cell(node[::stride], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
+        self.refine += np.bincount(_cell(cell[::stride], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
         for counts, slot in zip(self.counts, slots, strict=True):
             if len(bit) < 50_000:
                 np.add.at(counts.reshape(-1), slot * 2 + bit, 1)
@@ -179,8 +184,13 @@ class Mixer:
         self.seen += len(bit)
 
 
-def _cell(node: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return (node & np.uint64(CLASSES - 1)).astype(np.int32) * np.int32(ODDS) + ((z + 11.5) * np.float32((ODDS - 1) / 23)).astype(np.int32)
+def _cell(cell: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return cell + ((z + np.float32(11.5)) * np.float32((ODDS - 1) / 23)).astype(np.int32)
+
+
+def pack_odds(odds: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Log-odds whose last two bits hold how much was seen."""
+    return ((odds.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFFFC)) | sure.astype(np.uint32)).view(np.float32)
 
 
 def _log_odds(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +297,8 @@ def _log2(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarr
     """log2 of the probability of each symbol."""
     out = np.zeros(len(symbols))
     for s in _steps(code, symbols):
-        of, node, bit = code.expand(symbols[s])
-        out[s] = np.bincount(of, mixer.predict([c[s] for c in contexts], of, node, bit), s.stop - s.start)
+        of, salt, cell, bit = code.expand(symbols[s])
+        out[s] = np.bincount(of, mixer.predict([c[s] for c in contexts], of, salt, cell, bit), s.stop - s.start)
     return out
 
 
@@ -296,11 +306,11 @@ def _learn(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndar
     """Small blocks at first, so that the weights follow the first counts; then an eighth of what was seen."""
     after, at = np.cumsum(code.long[symbols]), 0
     while at < len(symbols):
-        limit = min(1 << 18, max(1 << 11, mixer.seen // 8))
+        limit = min(1 << 20, max(1 << 11, mixer.seen // 8))
         end = int(np.searchsorted(after, (after[at - 1] if at else 0) + limit)) + 1
         s = slice(at, min(end, len(symbols)))
-        of, node, bit = code.expand(symbols[s])
-        mixer.learn([c[s] for c in contexts], of, node, bit)
+        of, salt, cell, bit = code.expand(symbols[s])
+        mixer.learn([c[s] for c in contexts], of, salt, cell, bit)
         at = s.stop
 
 
@@ -443,7 +453,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = total
         if p >= 0:
             odds, sure = _log_odds(total)
-            data = (np.round(odds * 1024).astype(np.int32) << 2) | sure.astype(np.int32)
+            data = pack_odds(odds, sure)
         return pa.record_batch({"level": pa.array([level]), "p": pa.array([p]), "chunk": pa.array([chunk]), "data": pa.array([data.tobytes()], pa.binary())})
 
     for batch in batches:
@@ -512,13 +522,13 @@ def fit_language_model(docs: DataFrame, vocabulary: int = 65_000) -> tuple[Langu
     mixers = []
     for slots in (WORD_SLOTS, LETTER_SLOTS):
         sizes = [1 << b for b in slots]
-        mixers.append(Mixer(slots, odds=[np.zeros(n, np.float32) for n in sizes], sure=[np.zeros(n, np.int8) for n in sizes]))
+        mixers.append(Mixer(slots, odds=[np.zeros(n, np.float32) for n in sizes]))
     for r in written(rows, "model").toLocalIterator():
         mixer = mixers[r["level"]]
         if r["p"] >= 0:
             packed = np.frombuffer(r["data"], np.int32)
             cells = slice(r["chunk"] * CHUNK, r["chunk"] * CHUNK + len(packed))
-            mixer.odds[r["p"]][cells], mixer.sure[r["p"]][cells] = (packed >> 2) / 1024, packed & 3
+            mixer.odds[r["p"]][cells] = packed.view(np.float32)
         else:
             tail = np.frombuffer(r["data"], np.float64)
             cut = 1 + mixer.weights.size
@@ -579,7 +589,7 @@ def _score(model: LanguageModel, buckets: int):
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: first (kind 0) its words and counts, then packed rare words; sums for each row."""
+    """By bucket: first (kind 0) its words and counts, then packed rare words; packed sums for each row."""
     bucket, names, logs = None, None, None
     for batch in batches:
         for r in batch.to_pylist():
@@ -597,8 +607,23 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.frombuffer(r["rows"], np.int32)
             kinds, index = np.unique(rows, return_inverse=True)
             yield pa.record_batch({
-                "row": pa.array(r["row"] + kinds.astype(np.int64)), "rare": pa.array(np.bincount(index, log, len(kinds))),
-                "rare_known": pa.array(np.bincount(index, found, len(kinds)).astype(np.int64)),
+                "row": pa.array([r["row"]]), "rows": pa.array([kinds.astype(np.int32).tobytes()], pa.binary()),
+                "rare": pa.array([np.bincount(index, log, len(kinds)).tobytes()], pa.binary()),
+                "known": pa.array([np.bincount(index, found, len(kinds)).astype(np.int32).tobytes()], pa.binary()),
+            })
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets' sums of each block of texts, added up: a row for each text with rare words."""
+    for table, at in by_key(batches, ["row"]):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            part = table.slice(a, b - a)
+            join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part.column(c).to_pylist()])  # noqa: B023, E731
+            kinds, index = np.unique(join("rows", np.int32), return_inverse=True)
+            yield pa.record_batch({
+                "row": pa.array(part.column("row")[0].as_py() + kinds.astype(np.int64)),
+                "rare": pa.array(np.bincount(index, join("rare", np.float64), len(kinds))),
+                "rare_known": pa.array(np.bincount(index, join("known", np.int32), len(kinds)).astype(np.int64)),
             })
 
 
@@ -617,8 +642,9 @@ def score_texts(docs: DataFrame, vocabulary: int = 65_000) -> DataFrame:
     table = words.where("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "names", "counts", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("rows"))
     rare = (
         table.unionByName(packed).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_look_up, "row long, rare double, rare_known long")
-        .groupBy("row").agg(F.sum("rare").alias("rare"), F.sum("rare_known").alias("rare_known"))
+        .mapInArrow(_look_up, "row long, rows binary, rare binary, known binary")
+        .repartition("row").sortWithinPartitions("row")
+        .mapInArrow(_sum_rows, "row long, rare double, rare_known long")
     )
     rows = scored.where("bucket = -1").drop("bucket", "names", "rows").join(rare, "row", "left")
     end = float(np.log10(model.end_count + 0.1))
