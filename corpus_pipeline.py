@@ -24,7 +24,7 @@ from flowsift.llm.toxicity import fit_toxicity, toxicity_scores
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_scores(docs, model).where("toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity_scores(docs, model, "__toxicity").where("__toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

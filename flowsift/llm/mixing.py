@@ -143,6 +143,8 @@ def mix_sources(
     w = [float(x) for x in weights([r["source"] for r in stats])]
     words = [r["words"] for r in stats]
     target = fill_targets(words, w, share * sum(words), cap)
+    # Smaller blocks where a source has less than 16 of them.
+    block_words = max(1, min([block_words, *(x // 16 for x in words if x)]))
     blocks = [max(1, round(x / block_words)) if x else 0 for x in words]
     quota = sainte_lague(w, sum(round(t / block_words) for t in target), [cap * b for b in blocks])
     sources = spark.createDataFrame(

@@ -221,25 +221,27 @@ def fit_toxicity(
         x = _features(seen["ratio"].to_numpy(), seen["n"].to_numpy())
         model.weights = tuple(_logistic(x, seen["toxic"].to_numpy(float)))
     else:
-        model.weights = (0.0, 1.0, 0.0)
+        # Nothing to fit on: texts without evidence are as toxic as the labels say, and never rejected.
+        model.weights = (min(float(np.log(sizes[1] / sizes[0])), -0.1), 1.0, 0.0)
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: KneserNeyPair | None) -> DataFrame:
-    """All columns of the input, with ``toxicity`` (0 to 1; an own column of that name is replaced)."""
+def toxicity_scores(docs: DataFrame, model: KneserNeyPair | None, name: str = "toxicity") -> DataFrame:
+    """All columns of the input, and ``name``: 0 to 1 (an own column of that name is replaced)."""
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "toxicity"]
+    kept = [c for c in docs.columns if c != name]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias("toxicity"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("toxicity", F.lit(0.0)).schema
+        return rows.withColumn(name, F.lit(0.0))
+    schema = rows.withColumn(name, F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                columns = {c: part.column(c) for c in kept} | {"toxicity": pa.array(model.scores(part.column("text")))}
+                columns = {c: part.column(c) for c in kept} | {name: pa.array(model.scores(part.column("text")))}
                 yield pa.record_batch(columns)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
