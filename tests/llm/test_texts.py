@@ -82,6 +82,31 @@ def test_near_duplicates(spark, monkeypatch, size, limits):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("dense", [1, 200, 2048])
+def test_near_duplicates_in_dense_regions(spark, monkeypatch, dense):
+    """Pairs with similarity exactly 0.8 (8 words of 9 in common) are linked, however few classes make a region dense."""
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    rows = []
+    for i in range(2000):
+        same = [f"w{i}x{k}" for k in range(8)]
+        rows += [(2 * i, " ".join([*same, f"l{i}"])), (2 * i + 1, " ".join([*same, f"r{i}"]))]
+    got = neardup.near_duplicates(frame(spark, rows), size=1).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_sketches_in_blocks():
+    """Connected sketches as by comparing all pairs, for many and few of them."""
+    rng = np.random.default_rng(3)
+    for m, least in ((40, 30), (1500, 40)):
+        sketch = rng.integers(0, 256, (m // 5, 48), dtype=np.uint8)[rng.integers(0, m // 5, m)]
+        sketch = np.where(rng.random(sketch.shape) < 0.1, rng.integers(0, 256, sketch.shape), sketch).astype(np.uint8)
+        label = np.arange(m)
+        for i in range(m):
+            for j in np.flatnonzero((sketch[:i] == sketch[i]).sum(1) >= least):
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        assert (neardup._linked(sketch, least) == label).all()
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
     got = neardup.near_duplicates(frame(spark, [(1, None), (2, None)])).collect()
