@@ -47,8 +47,6 @@ SPREAD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (16, 17, 18, 19)
 GATES, ODDS, CLASSES = 81, 24, 64
 CHUNK = 1 << 16
-#: In large blocks a weight's step is taken from every STRIDE-th decision; counters take all.
-STRIDE = 8
 #: Bytes of text that a task works on at once.
 PIECE = 3 << 19
 
@@ -164,18 +162,15 @@ class Mixer:
     def learn(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
         """Predict with what is known so far, step along the error, then count."""
         slots = self._slots(contexts, of, salt)
-        stride = STRIDE if len(bit) > 50_000 else 1
-        some = [slot[::stride] for slot in slots]
-        inputs, gate = self._inputs(some)
+        inputs, gate = self._inputs(slots)
         z = self._mix(inputs, gate)
         one = 1 / (1 + np.exp(-z))
-        seen = bit[::stride]
-        error, spread = seen - one, one * (1 - one)
+        error, spread = bit - one, one * (1 - one)
         for p, x in enumerate(inputs):  # a Newton step for each weight of each gate
             pull, bend = np.bincount(gate, error * x, GATES), np.bincount(gate, spread * x * x, GATES)
             self.weights[:, p] += (0.5 / len(inputs) * pull / (bend + 100)).astype(np.float32)
         np.clip(self.weights, -1, 3, out=self.weights)
-        self.refine += np.bincount(_cell(cell[::stride], z) * 2 + seen, minlength=2 * len(self.refine)).reshape(-1, 2)
+        self.refine += np.bincount(_cell(cell, z) * 2 + bit, minlength=2 * len(self.refine)).reshape(-1, 2)
         for counts, slot in zip(self.counts, slots, strict=True):
             if len(bit) < 50_000:
                 np.add.at(counts.reshape(-1), slot * 2 + bit, 1)
@@ -414,7 +409,7 @@ def _train(vocabulary: Vocabulary):
     """Online training in a task; its counters in chunks, its weights and refining tables at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_mixer, letter_mixer, any_, spelled = Mixer(WORD_SLOTS), Mixer(LETTER_SLOTS), False, _Spelled()
+        word_mixer, letter_mixer, any_ = Mixer(WORD_SLOTS), Mixer(LETTER_SLOTS), False
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 part = part.filter(pa.array(~_held(part)))
@@ -422,13 +417,12 @@ def _train(vocabulary: Vocabulary):
                     continue
                 any_ = True
                 words = Words(part.column("text"))
-                codes, kinds, spot = _kinds(words)
-                symbols, contexts, _, _ = _encode(words, vocabulary, codes, kinds)
+                codes, kinds, _ = _kinds(words)
+                symbols, contexts, _, is_word = _encode(words, vocabulary, codes, kinds)
                 _learn(word_mixer, vocabulary.words, symbols, contexts)
-                new = np.flatnonzero(~spelled.find(kinds)[0])
-                if len(new):  # the spelling of each kind of word is learned once in a task
-                    spelled.add(kinds[new], np.zeros(len(new)))
-                    letters, contexts, _ = _letters(words.data, words.starts[spot[new]], words.ends[spot[new]])
+                rare = np.flatnonzero(symbols[is_word] == vocabulary.escape)
+                if len(rare):  # what scoring spells: the escaped words, as often as they occur
+                    letters, contexts, _ = _letters(words.data, words.starts[rare], words.ends[rare])
                     _learn(letter_mixer, vocabulary.spelling, letters, contexts)
         if not any_:
             return

@@ -203,6 +203,27 @@ def test_language_model_is_a_distribution():
         assert abs((2.0 ** contextmix._log2(mixer, code, np.arange(6), same)).sum() - 1) < 1e-4
 
 
+def test_mixer_learns_from_every_decision():
+    """In a large block all decisions move the weights and enter the refining table."""
+    n = 60_000
+    rng = np.random.default_rng(2)
+    contexts, of = [rng.integers(0, 9, 50).astype(np.uint64) for _ in range(3)], rng.integers(0, 50, n)
+    mixer = contextmix.Mixer((8, 8, 8))
+    mixer.learn(contexts, of, np.zeros(n, np.uint64), np.zeros(n, np.int32), (rng.random(n) < 0.8).astype(np.int8))
+    assert mixer.refine.sum() == mixer.seen == n
+
+
+def test_spelling_is_learned_from_escaped_words():
+    """Decisions of the spelling mixer: all escaped words, as often as they occur, and no others."""
+    counts = np.array([5, 1, 9])
+    name = Words(pa.array(["known"])).hashes()
+    vocabulary = contextmix.Vocabulary(name, np.array([0]), counts, np.ones(257, np.int64))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["known rare rare known", "rare known"])})
+    tails = [r for out in contextmix._train(vocabulary)(iter([batch])) for r in out.to_pylist() if r["p"] < 0 and r["level"] == 1]
+    letters = np.array([*b"rare", 256])
+    assert np.frombuffer(tails[0]["data"], np.float64)[0] == 3 * vocabulary.spelling.long[letters].sum()
+
+
 def test_language_model_empty(spark):
     assert contextmix.score_texts(frame(spark, [])).collect() == []
     rows = contextmix.score_texts(frame(spark, [(30, "no training text")])).collect() if zlib.crc32(b"30") % 10 == 0 else []
