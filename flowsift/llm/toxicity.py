@@ -13,8 +13,10 @@ from the counts.
 
 The fit uses a bounded sample of labelled rows: at most about ``max_rows`` of each
 class (chosen by a hash of the id). So the tables of the
-model, which all tasks get, are bounded by ``max_rows`` texts of a class. Scoring
-reads every text once, with no shuffle.
+model, which all tasks get, are bounded by ``max_rows`` texts of a class. Where a
+class is sampled, its rows weigh the inverse of its rate in calibration, in the class
+shares and in the shared counts, so that scores stand for the natural share of
+toxic texts. Scoring reads every text once, with no shuffle.
 
 Defined results: a null text is empty; an empty text has no evidence, its score is
 that of difference 0; rows with equal or null ids are scored each; labels of one
@@ -123,13 +125,13 @@ def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), 20 * total / n, total / np.sqrt(n)], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Newton steps with a small ridge; each row counts ``weight`` times."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - 0.1 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
+        grad = x.T @ (weight * (y - p)) - 0.1 * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
         w = w + np.linalg.solve(hess, grad)
     return w
 
@@ -138,11 +140,12 @@ def _log_ratio(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     return np.log(toxic) - np.log(ordinary)
 
 
-def _model(pairs: pd.DataFrame, words: pd.DataFrame, befores: pd.DataFrame, total: dict) -> KneserNeyPair:
+def _model(pairs: pd.DataFrame, words: pd.DataFrame, befores: pd.DataFrame, total: dict, weigh: dict) -> KneserNeyPair:
     """Ratios of the expressions that keep class counts.
 
     pairs: counts by class; words: counts of the kept words and of both words of kept
-    pairs (own: kept); befores: number of kinds of pairs that begin with a word.
+    pairs (own: kept); befores: number of kinds of pairs that begin with a word;
+    weigh: labelled rows for each sampled row of a class.
     """
     words, befores = words.set_index("word"), befores.set_index("before")
     low, high = {}, {}
@@ -152,10 +155,10 @@ def _model(pairs: pd.DataFrame, words: pd.DataFrame, befores: pd.DataFrame, tota
     for c in ("toxic", "ordinary"):
         n = max(total[c], 1)
         floor = max(DISCOUNT * total[f"{c}_words"], 1) / n / max(total["words"], 1)
-        share = total[c] / max(total["toxic"] + total["ordinary"], 1)
+        share = total[c] / max(sum(weigh[d] * total[d] for d in weigh), 1)  # of the natural counts, in the sample
         lower = lambda count: np.maximum(count - DISCOUNT, 0) / n + floor  # noqa: B023, E731
         low[c] = lower(words[c].to_numpy(float))
-        shared = (right["toxic"] + right["ordinary"]).to_numpy(float) * share
+        shared = sum(weigh[d] * right[d] for d in weigh).to_numpy(float) * share
         below = lower(np.where(right["own"].to_numpy(bool), right[c].to_numpy(float), shared))
         high[c] = np.maximum(pairs[c].to_numpy(float) - DISCOUNT, 0) / np.maximum(left[c].fillna(0).to_numpy(float), 1) + weight * below
     u64 = lambda s: s.to_numpy(np.int64).view(np.uint64)
@@ -182,6 +185,8 @@ def fit_toxicity(
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, max_rows / sizes[1]).otherwise(max_rows / sizes[0])
     chosen = known.where(draw < share)  # about 2 * max_rows ids
+    drawn = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weigh = {name: sizes[c] / max(drawn.get(c, 0), 1) for c, name in ((1, "toxic"), (0, "ordinary"))}
     rows = written(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
         .withColumn("held", F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(4)) == 0),
@@ -199,16 +204,20 @@ def fit_toxicity(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("words"),
         F.count_if(F.col("toxic") > 0).alias("toxic_words"), F.count_if(F.col("ordinary") > 0).alias("ordinary_words"),
     ).first().asDict().items()}
-    share = total["toxic"] / max(total["toxic"] + total["ordinary"], 1)
-    both = F.col("toxic") + F.col("ordinary")
-    own = (both >= min_count) & (F.abs(F.col("toxic") - both * share) >= clear * F.sqrt(both * share * (1 - share)))
+    natural = {c: weigh[c] * total[c] for c in weigh}
+    share = natural["toxic"] / max(sum(natural.values()), 1)
+    both = weigh["toxic"] * F.col("toxic") + weigh["ordinary"] * F.col("ordinary")
+    # A sampled count varies more than a full one: by its class's weight.
+    spread = (1 - share) * weigh["toxic"] + share * weigh["ordinary"]
+    away = F.abs(weigh["toxic"] * F.col("toxic") - both * share)
+    own = (F.col("toxic") + F.col("ordinary") >= min_count) & (away >= clear * F.sqrt(both * share * (1 - share) * spread))
     pairs = by_pair.where(own).toPandas()
     parts = pd.concat([pairs["word"], pairs["before"]]).astype("int64").drop_duplicates().to_frame("word")
     parts = F.broadcast(spark.createDataFrame(parts, "word long"))
     words = by_word.withColumn("own", own)
     words = words.where("own").unionByName(words.where("not own").join(parts, "word").select(words.columns)).toPandas()
     befores = by_pair.join(parts.withColumnRenamed("word", "before"), "before").groupBy("before").agg(F.count("*").alias("kinds")).toPandas()
-    model = _model(pairs, words, befores, total)
+    model = _model(pairs, words, befores, total, weigh)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +228,8 @@ def fit_toxicity(
     seen = rows.where("held").select("text", "toxic").mapInArrow(evidence, "toxic int, ratio double, n long").toPandas()
     if seen["toxic"].nunique() == 2:
         x = _features(seen["ratio"].to_numpy(), seen["n"].to_numpy())
-        model.weights = tuple(_logistic(x, seen["toxic"].to_numpy(float)))
+        toxic = seen["toxic"].to_numpy(float)
+        model.weights = tuple(_logistic(x, toxic, np.where(toxic == 1, weigh["toxic"], weigh["ordinary"])))
     else:
         # Nothing to fit on: texts without evidence are as toxic as the labels say, and never rejected.
         model.weights = (min(float(np.log(sizes[1] / sizes[0])), -0.1), 1.0, 0.0)

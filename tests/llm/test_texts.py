@@ -156,6 +156,25 @@ def test_toxicity(spark):
     assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in scored}
 
 
+def test_toxicity_of_a_sample(spark):
+    """A sample of the larger class leaves the natural share of toxic texts in the scores."""
+    draw = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        words = sentence(draw.randint(10, 30), draw)
+        toxic = int(i % 8 == 0)
+        if draw.random() < (0.6 if toxic else 0.1):
+            words.append("grub")
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, some = (toxicity.fit_toxicity(docs, table, max_rows=n) for n in (20_000, 400))
+    assert abs(whole.weights[0] - some.weights[0]) < 0.8
+    texts = pa.array([t for _, t in rows] + ["", None])
+    a, b = whole.scores(texts), some.scores(texts)
+    assert np.mean((a >= 0.5) == (b >= 0.5)) > 0.97 and max(a[-1], b[-1]) < 0.2
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     for labels in ([], [(1, 0)], [(1, 1)]):
