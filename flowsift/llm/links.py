@@ -4,8 +4,8 @@ Rules are (verdict, host, path): one fits its host and all subdomains of it if t
 url's path starts with the rule's path; the longest wins. Pages that no rule fits
 are judged by their host: personalised PageRank runs over the host graph (an edge
 for every link to another host) from hosts with allowed pages, and over the
-reversed graph from hosts with blocked pages. A host is blocked if its distrust
-is above ``least`` and above ``ratio`` times its trust.
+reversed graph from hosts with blocked pages, until no host's rank still changes. A
+host is blocked if its distrust is above ``ratio`` times its trust.
 
 Native DataFrame operations only. Edges and seeds are summed before they are
 shuffled, so a host that holds a third of the pages is one row per neighbour.
@@ -53,29 +53,47 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return name, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank. edges: src, dst, share (of src's links); seeds: host, seed (sum 1).
+def _round(rank: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
+    passed = rank.join(edges, rank["host"] == edges["src"]).select(
+        F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank")
+    )
+    return (
+        passed.unionByName(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank")))
+        .groupBy("host").agg(F.sum("rank").alias("rank"))
+    )
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, rank: DataFrame | None = None) -> DataFrame:
+    """Personalised PageRank. edges: src, dst, share (of src's links); seeds: host, seed (sum 1); rank: where to go on.
 
     Each round is a join and a sum; every third round is written, so that plans
     stay short and a lost executor costs three rounds at most.
     """
-    rank = seeds.withColumnRenamed("seed", "rank")
+    rank = seeds.withColumnRenamed("seed", "rank") if rank is None else rank
     for i in range(rounds):
-        passed = rank.join(edges, rank["host"] == edges["src"]).select(
-            F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank")
-        )
-        rank = (
-            passed.unionByName(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank")))
-            .groupBy("host").agg(F.sum("rank").alias("rank"))
-        )
+        rank = _round(rank, edges, seeds, damping)
         if i % 3 == 2:
             rank = written(rank, "host-rank")
     return rank
 
 
+def settled(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Personalised PageRank, iterated until three rounds change no host's rank by more than ``tolerance`` of itself.
+
+    The change is relative to each host, so neither the depth of the graph nor the number of seeds matters: a host
+    that was just reached has changed by all of its rank.
+    """
+    rank = seeds.withColumnRenamed("seed", "rank")
+    while True:
+        start = rank.withColumnRenamed("rank", "before")
+        rank = propagate(edges, seeds, 3, damping, rank)
+        change = F.max(F.abs(F.col("rank") - F.coalesce("before", F.lit(0.0))) / F.col("rank"))
+        if (rank.where("rank > 0").join(start, "host", "left").agg(change.alias("c")).first()["c"] or 0) <= tolerance:
+            return rank
+
+
 def judge_pages(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = 9, damping: float = 0.85,
-    ratio: float = 2.0, least: float = 1e-9,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, ratio: float = 2.0, tolerance: float = 1e-6,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the trust and distrust of the host."""
     host, path = url_parts(F.col("__url"))
@@ -104,11 +122,11 @@ def judge_pages(
         edges = links.join(degree, src).select(
             F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("all")).alias("share")
         )
-        return propagate(written(edges, "host-edges"), written(seeds, "host-seed"), rounds, damping).withColumnRenamed("rank", out)
+        return settled(written(edges, "host-edges"), written(seeds, "host-seed"), damping, tolerance).withColumnRenamed("rank", out)
 
     scores = ranks("allowed", "src", "dst", "trust").join(ranks("blocked", "dst", "src", "distrust"), "host", "full")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when((distrust > least) & (distrust > ratio * trust), "block").otherwise("allow")
+    own = F.when(distrust > ratio * trust, "block").otherwise("allow")
     return judged.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

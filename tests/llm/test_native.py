@@ -1,6 +1,7 @@
 """Perspectives and link verdicts against plain Python."""
 
 import numpy as np
+import pytest
 
 from flowsift.llm import links, perspectives
 
@@ -87,5 +88,15 @@ def test_page_rank(spark):
     assert all(abs(ranks.get(n, 0) - x) < 1e-12 for n, x in zip(names, rank, strict=True))
 
 
+@pytest.mark.parametrize("others", [1, 1000])
+def test_distrust_of_a_chain(spark, others):
+    """All of 15 hosts in a row that lead to a blocked one are blocked, however many blocked pages there are elsewhere."""
+    pages = [(0, "http://h0.com/de/", "")] + [(-i, "http://else.com/de/", "") for i in range(1, others + 1)]
+    for i in range(1, 16):
+        pages += [(100 * i + k, f"http://{'hab'[k]}{i}.net/", f'<a href="http://h{i - 1}.{"com" if i == 1 else "net"}/">') for k in range(3)]
+    got = {r.page_id: r.verdict for r in links.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}
+
+
 def test_no_pages(spark):
     assert links.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
