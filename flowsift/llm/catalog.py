@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsift.llm import contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
+from flowsift.llm import align, contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_perspectives": perspectives.op8,
     "op9_toxicity": toxicity.op9,
     "op10_link_trust": links.op10,
+    "op11_token_alignment": align.op11,
 }
 
 ORACLES = {

@@ -7,7 +7,7 @@ from the longest to the shortest: every document opens a window of its tier, and
 the window's gap is filled with whole documents of shorter tiers, longest first,
 and at last with a cut piece. So windows are full powers of two, which need
 no padding. What is too short for a window of the least tier waits for the next unit;
-only at the end of a task such a rest gets a padded window.
+at the end of a task such a rest is cut into windows of yet smaller powers of two.
 
 A unit of about ``unit_tokens`` tokens is packed at once, inside the task that
 reads and encodes the documents: no shuffle, and memory that doesn't grow with
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.llm.scratch import ship
-from flowsift.llm.tokens import encode_with_end
+from flowsift.llm.tokens import encode_with_end, release
 from flowsift.llm.words import pieces
 
 SCHEMA = (
@@ -73,7 +73,8 @@ class _Tiers:
 def pack_unit(
     lengths: np.ndarray, length: int, least: int, last: bool, starts: np.ndarray | None = None
 ) -> tuple[list[tuple[int, list[tuple[int, int, int]]]], list[tuple[int, int, int]]]:
-    """Windows as (length, pieces as (document, start, length)), and the pieces left over.
+    """Windows as (length, pieces as (document, start, length)), and the pieces left over (none if ``last``:
+    then tiers go down to one token, so that every window is full).
 
     lengths: tokens of each document; starts: where each begins inside its whole document.
     """
@@ -84,7 +85,7 @@ def pack_unit(
         full = n // length
         windows += [(length, [(doc, begin + k * length, length)]) for k in range(full)]
         open_.put(doc, begin + full * length, n - full * length)
-    tier = length
+    tier, least = length, 1 if last else least
     while tier >= least:
         while open_.total:
             if open_.total < tier:
@@ -108,9 +109,6 @@ def pack_unit(
     rest = []
     while open_.total:
         rest.append(open_.take(open_.shortest()))
-    if last and rest:
-        windows.append((length, rest))
-        rest = []
     return windows, rest
 
 
@@ -186,6 +184,7 @@ def pack_documents(
                         yield from flush(False)
         if kept:
             yield from flush(True)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, SCHEMA)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsift.llm.scratch import new_path, ship, written
-from flowsift.llm.tokens import encode_with_end
+from flowsift.llm.tokens import encode_with_end, release
 from flowsift.llm.words import pieces
 
 ROWS = 64
@@ -156,6 +156,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0
         name = f"part-{shard:06d}"
         system.move(f"{temp}.docs", f"{base}/{name}.docs.arrow")
         system.move(temp, f"{base}/{name}.arrow")
+        release()
         yield pa.record_batch({
             "shard": pa.array([shard], pa.int64()), "path": pa.array([f"{folder}/{name}"]),
             "n_docs": pa.array([count], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()),

@@ -5,7 +5,8 @@ pre-tokenizer never joins across such a piece's ends. So a batch is cut into pie
 each distinct piece is encoded once by the tokenizer's model, and the ids are put
 together with numpy. A worker keeps the ids of pieces it has seen, up to
 ``CACHE`` pieces. Texts with other white space than blank and 0x09-0x0D are
-encoded whole by the tokenizer itself. Pieces are told apart by a 64-bit hash.
+encoded whole by the tokenizer itself, and so are texts with the string of an added
+token, unless such strings are to be ordinary text (``plain``). Pieces are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 
 from flowsift.llm.words import _BASE, _INVERSE, _SEGMENT, _power, mix64
 
-CACHE = 700_000
+CACHE = 300_000
 _RAW = np.random.Generator(np.random.PCG64(20240612)).integers(1, 2**63, 256, dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -29,7 +30,7 @@ _MARK = np.zeros(256, bool)
 _MARK[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PLAIN = re.compile(r" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[!,.:;?]+|\n)")
-_workers: dict[str, PieceEncoder] = {}
+_workers: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,11 +41,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: strings of added tokens are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.clear()
@@ -95,14 +99,14 @@ class PieceEncoder:
         data = np.frombuffer(raw, np.uint8)[int(bounds[0]) : int(bounds[-1])]
         bounds = bounds - bounds[0]
         blob = data.tobytes()
-        if _ODD.search(blob.decode()):
+        if self.odd.search(blob.decode()):
             return self._mixed(texts)
         return self._pieces(data, blob, bounds)
 
     def _mixed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Odd texts whole by the tokenizer, the others by pieces."""
         values = texts.to_pylist()
-        odd = np.array([bool(_ODD.search(v)) for v in values])
+        odd = np.array([bool(self.odd.search(v)) for v in values])
         found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(values)
         for i in np.flatnonzero(odd):
             found[i] = np.array(self.tokenizer.encode(values[i], add_special_tokens=False).ids, np.uint32)
@@ -156,11 +160,18 @@ class PieceEncoder:
         return self.ids[index], np.concatenate([[0], after])[piece_at]
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """This worker's encoder for the tokenizer file."""
-    if path not in _workers:
-        _workers[path] = PieceEncoder(path)
-    return _workers[path]
+    if (path, plain) not in _workers:
+        _workers[path, plain] = PieceEncoder(path, plain)
+    return _workers[path, plain]
+
+
+def release() -> None:
+    """At the end of a task: a worker that stays for other tasks keeps neither pieces nor freed Arrow memory."""
+    for kept in _workers.values():
+        kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def encode_with_end(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
