@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsift.llm import align, contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity
+from flowsift.llm import align, contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity, trie
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_link_trust": links.op10,
     "op11_token_alignment": align.op11,
+    "op12_prefix_trie": trie.op12,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_near_duplicates": neardup.op5_sql(),
     "op8_perspectives": perspectives.OP8_SQL,
     "op10_link_trust": links.op10_sql(),
+    "op12_prefix_trie": trie.OP12_SQL,
 }
