@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsift.llm import align, contextmix, graphs, links, mixing, neardup, packing, perspectives, pivots, tokenfiles, toxicity, trie
+from flowsift.llm import align, contextmix, graphs, links, mixing, neardup, packing, personal, perspectives, pivots, tokenfiles, toxicity, trie
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_link_trust": links.op10,
     "op11_token_alignment": align.op11,
     "op12_prefix_trie": trie.op12,
+    "op13_personal_data": personal.op13,
 }
 
 ORACLES = {
