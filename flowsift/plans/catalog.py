@@ -12,6 +12,7 @@ from flowsift.functions.held import held_tables
 from flowsift.functions.numeric import grid, hamming_words, sign_code
 from flowsift.operators import analysis, baselines, evaluate, lsh
 from flowsift.operators import features as feats
+from flowsift.operators.hamming_search import exact_knn, index_recall
 from flowsift.operators.outliers import local_outlier_factor
 from flowsift.operators.quantizer import quantizer_params, quantizer_report, top_bits
 from flowsift.operators.sampling import sample_n, stratified_sample, with_label
@@ -373,6 +374,17 @@ def lsh_knn(spark, sf_dir):
     return rounded(lsh.knn(d.lsh, d.codes(test_flows(spark, sf_dir))).drop("run"), "avg_distance")
 
 
+def hamming_knn_exact(spark, sf_dir):
+    """The true nearest training codes of every test code."""
+    model, queries = _queries_hashed(spark, sf_dir)
+    return rounded(exact_knn(queries, model.index, LSH_V2.neighbours), "avg_distance")
+
+
+def lsh_recall(spark, sf_dir):
+    model, queries = _queries_hashed(spark, sf_dir)
+    return rounded(index_recall(model, queries, LSH_V2.neighbours), "recall")
+
+
 def _verdict(spark, sf_dir, version):
     d = detector(spark, sf_dir, version)
     summary = lsh.knn(d.lsh, d.codes(test_flows(spark, sf_dir)))
@@ -629,6 +641,8 @@ QUERIES: dict[str, Query] = {
     "lsh_candidates": lsh_candidates,
     "lsh_probe": lsh_probe,
     "lsh_knn": lsh_knn,
+    "hamming_knn_exact": hamming_knn_exact,
+    "lsh_recall": lsh_recall,
     "lsh_verdict": lsh_verdict,
     "lsh_verdict_v1": lsh_verdict_v1,
     "score_flows": score_flows,

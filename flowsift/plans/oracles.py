@@ -87,6 +87,17 @@ RATES = ", ".join(f'{G(chr(34) + r + chr(34))} AS "{r}"' for r in RATE_COLUMNS)
 P2 = predictions(V2)
 
 
+# All pairs of test and training codes, and how many of the k nearest lie at each distance.
+ALL_PAIRS = f"""{V2}, every_pair AS (
+  SELECT q.embedding AS q, bit_count(xor(q.embedding, i.embedding))::INT AS d, count(*) AS n
+  FROM (SELECT DISTINCT embedding FROM test_codes) q, (SELECT DISTINCT embedding FROM train_codes) i GROUP BY ALL
+), cumulated AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY q ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM every_pair
+), taken AS (
+  SELECT q, d, least(n, {LSH_V2.neighbours} - before)::BIGINT AS take FROM cumulated WHERE before < {LSH_V2.neighbours}
+)"""
+
+
 def seeds_chain() -> str:
     runs = dict(enumerate(EXPERIMENT_SEEDS))
     seed = "CASE run " + " ".join(f"WHEN {r} THEN {s}" for r, s in runs.items()) + " END"
@@ -217,6 +228,11 @@ def sql() -> dict[str, str]:
         "lsh_candidates": f"{V2} SELECT q AS embedding, count(*) AS candidates FROM pairs GROUP BY q",
         "lsh_probe": f"{V2} SELECT m.code AS embedding, count(p.c) AS candidates FROM missed m LEFT JOIN probed p ON p.run = m.run AND p.q = m.code GROUP BY m.code",
         "lsh_knn": f"{V2} SELECT embedding, candidates, min_distance, k, {G('avg_distance')} AS avg_distance, probed FROM knn",
+        "hamming_knn_exact": f"{ALL_PAIRS} SELECT q AS embedding, sum(take)::BIGINT AS k, min(d) AS min_distance, max(d) AS kth_distance, "
+                             f"{G('sum(take * d)::DOUBLE / sum(take)')} AS avg_distance FROM taken GROUP BY q",
+        "lsh_recall": f"{ALL_PAIRS}, mates AS (SELECT q, bit_count(xor(q, c))::INT AS d, count(*) AS mates FROM pairs GROUP BY ALL) "
+                      f"SELECT d AS distance, sum(take)::BIGINT AS true_neighbours, sum(least(take, coalesce(mates, 0)))::BIGINT AS found, "
+                      f"{G('sum(least(take, coalesce(mates, 0)))::DOUBLE / sum(take)')} AS recall FROM taken LEFT JOIN mates USING (q, d) GROUP BY d",
         "lsh_verdict": f"{V2} SELECT DISTINCT embedding, is_anomaly, {G('score')} AS score FROM verdict",
         "lsh_verdict_v1": f"{V1} SELECT DISTINCT embedding, is_anomaly, {G('score')} AS score FROM verdict",
         "score_flows": f"{P2} SELECT id, model, is_anomaly, {G('score')} AS score FROM predictions",
