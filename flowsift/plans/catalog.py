@@ -22,7 +22,8 @@ from flowsift.plans.detector import FlowDetector, fit_flow_detector, fit_flow_de
 from flowsift.schema import FEATURES, LSH_V1, LSH_V2, OPTIMIZED_FEATURES, QUANTIZER_V1, QUANTIZER_V2, VECTOR8
 from flowsift.sources import results
 from flowsift.sources.flows import event_flows, flows_from_events, read_flows
-from flowsift.streaming.score import StreamSinks, anomalies_per_minute, read_output, recent_rate, running_metrics, score_stream
+from flowsift.streaming import state
+from flowsift.streaming.score import StreamSinks, read_output, replay_in_batches, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
@@ -468,8 +469,14 @@ def top_features(spark, sf_dir):
 
 
 def anomaly_rate_per_minute(spark, sf_dir):
-    minutes = anomalies_per_minute(predictions(spark, sf_dir).where("is_anomaly"), time="ts")
-    return rounded(recent_rate(minutes.withColumn("minute", F.col("minute").cast("timestamp_ntz"))), "recent_rate")
+    """Through the stream of closed minutes; a last row after all others closes the open ones."""
+    sinks, folder = _stream_output(spark, sf_dir), results.work_folder(spark, "minutes")
+    run = lambda: state.run_minutes(spark, sinks.minutes, f"{folder}/rows", f"{folder}/checkpoint", lateness="3650 days").awaitTermination()
+    run()
+    state.end_of_stream(spark, sinks.minutes, "2100-01-01 00:00:00")
+    run()
+    minutes = state.closed_minutes(spark, f"{folder}/rows").select("minute", "anomalies", "recent_rate")
+    return rounded(minutes.withColumn("minute", F.col("minute").cast("timestamp_ntz")), "recent_rate")
 
 
 def anomaly_history(spark, sf_dir):
@@ -575,8 +582,24 @@ def stream_score(spark, sf_dir):
 
 
 def stream_metrics(spark, sf_dir):
-    batches = read_output(spark, _stream_output(spark, sf_dir).performance)
-    return rounded(running_metrics(batches), "detection_share", "accuracy")
+    """Totals out of the state store, after all batches of the scored stream."""
+    sinks, folder = _stream_output(spark, sf_dir), results.work_folder(spark, "totals")
+    state.run_totals(spark, sinks.performance, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    totals = state.latest_totals(spark, f"{folder}/rows").drop("batches", "seconds", "flows_per_second")
+    return rounded(totals, "detection_share", "accuracy")
+
+
+def stream_replay(spark, sf_dir):
+    """The sampled stream of 1,000 test flows, scored in micro-batches of 100; flows by batch size and verdict."""
+    folder = results.work_folder(spark, "replay")
+    flows = test_flows(spark, sf_dir).drop("split")
+    chosen = sample_n(flows.select("id"), 1000, SEED).select("id")
+    stream = replay_in_batches(flows.join(F.broadcast(chosen), "id", "left_semi").select(*flows.columns), folder, 100)
+    sinks = StreamSinks(f"{folder}/out")
+    score_stream(stream, detector(spark, sf_dir), sinks.root).awaitTermination()
+    detail = read_output(spark, sinks.detail)
+    sizes = detail.groupBy("batch_id").agg(F.count("*").alias("batch_rows"))
+    return rounded(detail.join(F.broadcast(sizes), "batch_id").drop("batch_id", "ts"), "score")
 
 
 def run_history(spark, sf_dir):
@@ -598,6 +621,7 @@ QUERIES: dict[str, Query] = {
     "all_predictions": all_predictions,
     "stream_score": stream_score,
     "stream_metrics": stream_metrics,
+    "stream_replay": stream_replay,
     "run_history": run_history,
     "flow_scan": flow_scan,
     "prediction_detail": prediction_detail,

@@ -258,6 +258,12 @@ def sql() -> dict[str, str]:
     }
     q["run_history"] = q["run_performance"]
     q["stream_score"] = q["prediction_detail"]
+    q["stream_replay"] = (
+        f"{P2}, chosen AS (SELECT id FROM flows WHERE split = 'test' ORDER BY {S.seeded('42')}, id LIMIT 1000), "
+        f"numbered AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM chosen) "
+        f"SELECT p.id, model, is_anomaly::INT AS prediction, {G('score')} AS score, label AS true_label, is_anomaly::INT = label AS correct, "
+        f"count(*) OVER (PARTITION BY batch) AS batch_rows FROM predictions p JOIN numbered n ON n.id = p.id"
+    )
     q["stream_metrics"] = (
         f"{P2} SELECT model, total_samples AS flows_processed, anomalies_detected, "
         f"{G('anomalies_detected / total_samples')} AS detection_share, {G('accuracy')} AS accuracy FROM metrics"

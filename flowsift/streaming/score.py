@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,10 @@ class StreamSinks:
     def performance(self) -> str:
         return f"{self.root}/performance"
 
+    @property
+    def minutes(self) -> str:
+        return f"{self.root}/minutes"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -62,6 +67,7 @@ def score_stream(stream: DataFrame, detector: FlowDetector, root: str, available
     columns = [f.name for f in stream.schema if f.name != "id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        begun = time.monotonic()
         with held_tables():
             scored = hold(detector.score(batch, tuple(columns)))
             kept = [c for c in ("id", "ts") if c in scored.columns]
@@ -69,13 +75,46 @@ def score_stream(stream: DataFrame, detector: FlowDetector, root: str, available
             anomalous_flows(scored, F.current_timestamp()).write.mode("overwrite").parquet(
                 f"{sinks.anomalies}/batch_id={batch_id}"
             )
-            classification_metrics(scored).write.mode("overwrite").parquet(f"{sinks.performance}/batch_id={batch_id}")
+            if "ts" in kept:
+                flows_per_minute(scored).coalesce(1).write.mode("overwrite").parquet(f"{sinks.minutes}/batch_id={batch_id}")
+            # A few rows: one file a batch, so that a batch is read as a whole.
+            seconds = F.lit(time.monotonic() - begun)
+            classification_metrics(scored).coalesce(1).withColumn("seconds", seconds).write.mode("overwrite").parquet(f"{sinks.performance}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", sinks.checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
 
+def flows_per_minute(scored: DataFrame) -> DataFrame:
+    """Flows and anomalies of each model and event-time minute."""
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute")
+    return scored.groupBy("model", minute).agg(F.count("*").alias("flows"), F.sum(F.col("is_anomaly").cast("bigint")).alias("anomalies"))
+
+
+def replay_in_batches(flows: DataFrame, folder: str, rows: int = 100, stop_after: int | None = None) -> DataFrame:
+    """A stream that gives ``rows`` flows a micro-batch and ends after ``stop_after`` flows (all, if null).
+
+    The flows are written once, ``rows`` to a file, and a trigger takes one file: the limit is counted, a restart goes
+    on behind the last complete batch, and only the last batch may be smaller.
+    """
+    spark = flows.sparkSession
+    chosen = flows if stop_after is None else flows.orderBy("id").limit(stop_after)
+    # Runs of ``rows`` flows in order of id; the numbers come from counts of range partitions, not from one task.
+    parts = chosen.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    numbered = parts.withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
+    numbered.write.mode("overwrite").parquet(f"{folder}/numbered")
+    stored = spark.read.schema(numbered.schema).parquet(f"{folder}/numbered")
+    sizes = stored.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.floor((F.col("place") + F.col("before")) / rows)
+    placed = stored.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("run", run)
+    # A run's flows meet in one partition of the shuffle; files are cut where the run ends.
+    ordered = placed.repartition("run").sortWithinPartitions("run", "id")
+    ordered.drop("part", "place", "before").write.mode("overwrite").partitionBy("run").parquet(f"{folder}/batches")
+    return spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/batches")
+
+
 def read_output(spark: SparkSession, folder: str) -> DataFrame:
     """All batches of one streaming output (``batch_id`` is a partition column)."""
     return spark.read.parquet(folder)
