@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.components import connected
 from flowsift.llm.scratch import ship, written
+from flowsift.llm.tokens import release
 from flowsift.llm.words import Words, mix64, pieces
 
 TREES, BASE, DEEP = 16, 3, 6
@@ -86,7 +87,7 @@ def _prints(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 18):
                 sets, at = shingles(part.column("text"), size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -102,6 +103,7 @@ def _prints(docs: DataFrame, size: int) -> DataFrame:
                     "doc_id": part.column("doc_id"), "n": pa.array(n), "k1": pa.array(k1.view(np.int64)),
                     "k2": pa.array(k2.view(np.int64)), "sig": pa.array(sig, pa.binary()),
                 })
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 

@@ -171,7 +171,7 @@ def pack_documents(
             waiting = sum(len(x) for x in kept)
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 18):
                 ids, at = encode_with_end(part.column("text"), tokenizer, end)
                 own = part.column("doc_id").to_pylist()
                 for i, name in enumerate(own):

@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0
         out, sink, index_sink, index, tokens, count = None, None, None, None, 0, 0
         temp = f"{base}/_{mark}"
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 18):
                 if out is None:
                     system.create_dir(base, recursive=True)
                     sink, index_sink = system.open_output_stream(temp), system.open_output_stream(f"{temp}.docs")

@@ -11,6 +11,8 @@ token, unless such strings are to be ordinary text (``plain``). Pieces are told
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
 import numpy as np
@@ -30,6 +32,7 @@ _MARK = np.zeros(256, bool)
 _MARK[[33, 44, 46, 58, 59, 63]] = True  # ! , . : ; ?
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _PLAIN = re.compile(r" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[!,.:;?]+|\n)")
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # gives the allocator's free pages back, where there is one
 _workers: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -168,10 +171,13 @@ def encoder(path: str, plain: bool = False) -> PieceEncoder:
 
 
 def release() -> None:
-    """At the end of a task: a worker that stays for other tasks keeps neither pieces nor freed Arrow memory."""
+    """At the end of a task: a worker that stays for other tasks keeps neither pieces nor freed memory."""
     for kept in _workers.values():
         kept.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def encode_with_end(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:

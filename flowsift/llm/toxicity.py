@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.llm.scratch import ship, written
+from flowsift.llm.tokens import release
 from flowsift.llm.words import Words, mix64, pieces
 
 START = np.uint64(0x51ED270B7A3C5F19)
@@ -59,7 +60,7 @@ def _expressions(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of words (before: null) and pairs: in how many texts of each class they occur."""
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 18):
             words = Words(part.column("text"))
             words.trim()
             word, before, pair = _expressions(words)
@@ -77,6 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "before": i64(sums["before"]) if key is pair else pa.nulls(len(sums), pa.int64()),
                     "toxic": pa.array(sums["toxic"].to_numpy(np.int64)), "ordinary": pa.array((sums["n"] - sums["toxic"]).to_numpy(np.int64)),
                 })
+    release()
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +249,10 @@ def toxicity_scores(docs: DataFrame, model: KneserNeyPair | None, name: str = "t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 18):
                 columns = {c: part.column(c) for c in kept} | {name: pa.array(model.scores(part.column("text")))}
                 yield pa.record_batch(columns)
+        release()
 
     return rows.mapInArrow(score, schema)
 

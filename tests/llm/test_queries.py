@@ -50,3 +50,12 @@ def test_pipeline_on_odd_rows(spark):
         assert kept.count() == (3 if table is docs else 0)
         packed = corpus_pipeline.pack(spark, corpus_pipeline.mix_sources(spark, kept, SMALL), SMALL)
         assert packed.where("doc_id is not null").count() >= (1 if table is docs else 0)
+
+
+def test_pipeline_with_ids_held_twice(spark):
+    words = "a b c d e f g h"
+    rows = [(1, words, 7, 0.5), (2, words, 8, 0.5), (2, "quite other words than those above are here", 9, 0.5), (3, None, 1, 0.1), (3, None, 1, 0.1), (3, "", 1, 0.1), (4, words, 2, 0.2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, __toxicity double")
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_toxic(spark, docs, SMALL), SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.select("doc_id", "key", "__toxicity").collect()) == [(1, 7, 0.5), (2, 9, 0.5), (3, 1, 0.1), (3, 1, 0.1)]
