@@ -2,10 +2,14 @@
 
 1. Every text gives its set of word shingles, a MinHash signature and two sums that
    identify the set. Documents with equal sets are one class, named by its smallest id.
-2. ``TREES`` orders, each by its own hashes of the signature. Classes with the same ``BASE``
-   hashes in an order are a region, whatever its size. Two of a region are candidates if
+2. The forest: each tree lays the classes out in the sorted order of its own hashes of the signature.
+   Classes with the same first hashes are a region; two of a region are candidates if
    their sketches (8 bits of each hash) don't exclude the wanted similarity by
-   five standard errors. Regions of more than ``DENSE`` classes are cut without loss: by overlapping bands of
+   five standard errors. In a region of more than ``DENSE`` classes only the neighbours in the
+   sorted order, those with the longest common prefixes, are compared at once. If they don't join the
+   region into one set of candidates, its classes go on to the next level: further trees of their own,
+   with longer prefixes and as many orders as these need (``LEVELS``). So the depth adapts to each region.
+   What is still dense at the last level is cut without loss: by overlapping bands of
    set sizes (sets of similarity s differ in size by a factor of s at most), and large bands
    into blocks of which all pairs are compared, spread over tasks.
 3. Components of the candidates are small sets that hold all similar pairs. In each
@@ -16,8 +20,9 @@
    blocks and all pairs of blocks are compared.
 4. Components of the confirmed links name the groups.
 
-A pair with similarity 0.8 shares a region with probability 0.99999 in 16 trees of base depth 3, and its sketches pass with
-probability 0.999997: 1.4 of 100,000 such pairs are not compared, however many documents there are.
+A pair with similarity 0.8 shares a region of a level with probability 0.999997 or more (18 trees of depth 3, 45 of 6, 120 of 10), and
+its sketches pass with probability 0.999996. A pair whose regions are all dense meets again in the next level, as both its classes go there; so at most
+18 of a million such pairs are not compared, over all levels together, however many documents there are.
 No partner, bucket or text is capped. Nothing about documents reaches the driver.
 
 Defined results: a text with fewer words than a shingle is one shingle of all its
@@ -29,6 +34,8 @@ kept). Other columns of the input take no part, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +46,36 @@ from pyspark.sql import functions as F
 from flowsift.llm.components import connected
 from flowsift.llm.scratch import ship, written
 from flowsift.llm.tokens import release
+from flowsift.llm.vectors import chunks
 from flowsift.llm.words import Words, mix64, pieces
 
-TREES, BASE, DEEP = 16, 3, 6
+
+class Level(NamedTuple):
+    trees: int
+    base: int  # hashes that the classes of a region share
+    deep: int  # hashes by which a tree is sorted
+
+
+LEVELS = (Level(18, 3, 6), Level(45, 6, 8), Level(120, 10, 12))
 SKETCH = 48
-#: Classes of a region above which it is cut; a task compares two blocks of at most about 4 * DENSE classes.
+#: Classes of a region above which only neighbours are compared; at the last level a task compares two blocks of at most about 4 * DENSE classes.
 DENSE = 2048
+#: Neighbours in the sorted order of a dense region.
+NEIGHBOURS = 8
 #: Shingles in one task's set of candidates.
 BLOCK = 2_000_000
 _rng = np.random.Generator(np.random.PCG64(20240613))
-_MULTIPLY = _rng.integers(1, 2**63, TREES * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 2**63, TREES * DEEP, dtype=np.uint64)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@cache
+def hash_functions(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and what is added first, for all hashes of a level's trees."""
+    n = LEVELS[level].trees * LEVELS[level].deep
+    rng = np.random.Generator(np.random.PCG64(20240614 + level))
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1, 2**63, n, dtype=np.uint64)
+
+
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in a row, and where each text's begin (one more: the end)."""
     words = Words(texts)
@@ -74,16 +97,18 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else grams[:0]), bounds
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(sets: np.ndarray, at: np.ndarray, level: int = 0) -> np.ndarray:
     """Upper 32 bits of the least hash of each set for all hash functions; sets must not be empty."""
-    out = np.empty((len(at) - 1, len(_MULTIPLY)), np.uint32)
-    for j, (m, c) in enumerate(zip(_MULTIPLY, _ADD, strict=True)):
+    multiply, add = hash_functions(level)
+    out = np.empty((len(at) - 1, len(multiply)), np.uint32)
+    for j, (m, c) in enumerate(zip(multiply, add, strict=True)):
         out[:, j] = np.minimum.reduceat((sets ^ c) * m, at[:-1]) >> np.uint64(32)
     return out
 
 
-def _prints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, k1, k2 (they identify the set), sig (null without words)."""
+def _prints(docs: DataFrame, size: int, level: int = 0) -> DataFrame:
+    """doc_id, n, k1, k2 (they identify the set), sig (null without words), by the hashes of a level."""
+    name1, name2 = _PLACE[-2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +120,9 @@ def _prints(docs: DataFrame, size: int) -> DataFrame:
                 sig: list[bytes | None] = [None] * len(n)
                 if len(full):
                     begin = np.append(at[:-1][full], len(sets))
-                    k1[full] = np.add.reduceat(mix64(sets ^ _ADD[0]), begin[:-1])
-                    k2[full] = np.add.reduceat(mix64(sets ^ _ADD[1]), begin[:-1])
-                    for i, s in zip(full.tolist(), signatures(sets, begin), strict=True):
+                    k1[full] = np.add.reduceat(mix64(sets ^ name1), begin[:-1])
+                    k2[full] = np.add.reduceat(mix64(sets ^ name2), begin[:-1])
+                    for i, s in zip(full.tolist(), signatures(sets, begin, level), strict=True):
                         sig[i] = s.tobytes()
                 yield pa.record_batch({
                     "doc_id": part.column("doc_id"), "n": pa.array(n), "k1": pa.array(k1.view(np.int64)),
@@ -108,23 +133,34 @@ def _prints(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: region key, size of the set, sketch, id."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, TREES, DEEP)
-            sketch = np.ascontiguousarray(sig.reshape(len(sig), -1)[:, :: TREES * DEEP // SKETCH].astype(np.uint8))
-            wide = sig.astype(np.uint64)
-            for t in range(TREES):
-                key = np.full(len(sig), t + 1, np.uint64)
-                for d in range(BASE):
-                    key = mix64(key * np.uint64(31) + wide[:, t, d])
-                yield pa.record_batch({
-                    "key": pa.array(key.view(np.int64)), "n": part.column("n"),
-                    "sketch": pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(sig), [None, pa.py_buffer(sketch)]).cast(pa.binary()),
-                    "id": part.column("doc_id"),
-                })
+def _forest(level: int):
+    trees, base, deep = LEVELS[level]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each tree: region, the hashes that sort it, size of the set, sketch, id."""
+        step = (1 << 19) // (trees * deep)
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, trees, deep)
+                flat = sig.reshape(len(sig), -1)
+                sketch = np.ascontiguousarray(flat[:, :: flat.shape[1] // SKETCH][:, :SKETCH].astype(np.uint8))
+                for t in range(trees):
+                    key = np.full(len(sig), t + 1, np.uint64)
+                    for d in range(base):
+                        key = mix64(key * np.uint64(31) + sig[:, t, d].astype(np.uint64))
+                    # Big-endian, so that bytes sort as the hashes do.
+                    rest = np.ascontiguousarray(sig[:, t, base:].astype(">u4"))
+                    yield pa.record_batch({
+                        "key": pa.array(key.view(np.int64)), "deep": _fixed(rest, 4 * (deep - base)), "n": part.column("n"),
+                        "sketch": _fixed(sketch, SKETCH), "id": part.column("doc_id"),
+                    })
+
+    return run
+
+
+def _fixed(rows: np.ndarray, width: int) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -209,9 +245,32 @@ def _linked(sketch: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def _least(threshold: float) -> float:
+    """Bytes of two sketches that agree at least, at the wanted similarity, but for five standard errors."""
+    return float(np.ceil((threshold - 5 * np.sqrt(threshold * (1 - threshold) / SKETCH)) * SKETCH))
+
+
+def _prefix_neighbours(threshold: float):
+    """Links in dense regions: each class and the next ones in the sorted order."""
+    least = _least(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Union()
+        for table in chunks(batches, 1 << 15):
+            key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for step in range(1, NEIGHBOURS + 1):
+                a = np.flatnonzero(key[:-step] == key[step:])
+                a = a[(sketch[a] == sketch[a + step]).sum(1) >= least]
+                for x, y in zip(ids[a].tolist(), ids[a + step].tolist(), strict=True):
+                    links.link(x, y)
+        yield links.batch()
+
+    return run
+
+
 def _neighbours(threshold: float):
-    error = 5 * np.sqrt(threshold * (1 - threshold) / SKETCH)
-    least = np.ceil((threshold - error) * SKETCH)
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Union()
@@ -238,23 +297,59 @@ def _neighbours(threshold: float):
 
 
 def _cut(rows: DataFrame, percent: int) -> DataFrame:
-    """key, sketch, id: regions of more than DENSE classes in parts, so that every pair that may be similar shares a part."""
-    dense = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > DENSE).select("key"), "dense")
-    if dense.isEmpty():
-        return rows.select("key", "sketch", "id")
+    """key, deep, sketch, id: dense regions in parts, so that every pair that may be similar shares a part."""
     # Similar sets are in the same band or in neighbouring ones; part b has the bands b and b - 1.
     width = max(float(np.log(100 / percent)), 0.01) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n")) / width)
-    banded = written(
-        rows.join(dense, "key").select("key", F.explode(F.array(band, band + 1)).alias("band"), "sketch", "id"), "dense-rows"
-    )
+    banded = written(rows.select("key", F.explode(F.array(band, band + 1)).alias("band"), "deep", "sketch", "id"), "dense-bands")
     large = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / (4 * DENSE)).cast("int").alias("blocks")).where("blocks > 2")
     large = written(large, "dense-blocks")
     dealt = banded.join(large, ["key", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or other <> own")
     part = F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.join(dense, "key", "left_anti").select("key", "sketch", "id").unionByName(dealt.select(part.alias("key"), "sketch", "id"))
+    return dealt.select(part.alias("key"), "deep", "sketch", "id")
+
+
+def _candidates(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b whose components hold all pairs of classes that are similar."""
+    threshold = percent / 100
+    signed = classes.select(F.col("rep").alias("doc_id"), "n", "sig")
+    found = None
+    for level in range(len(LEVELS)):
+        rows = signed.mapInArrow(_forest(level), "key long, deep binary, n long, sketch binary, id long")
+        dense = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > DENSE).select("key"), "dense")
+        none = dense.isEmpty()
+        sparse = rows if none else rows.join(dense, "key", "left_anti")
+        links = _regions(sparse, threshold)
+        found = links if found is None else found.unionByName(links)
+        if none:
+            return found
+        crowd = written(rows.join(dense, "key"), "dense-rows")
+        ordered = crowd.repartitionByRange("key", "deep", "id").sortWithinPartitions("key", "deep", "id")
+        chains = ordered.select("key", "sketch", "id").mapInArrow(_prefix_neighbours(threshold), "a long, b long")
+        joined = written(connected(found.unionByName(chains)), "joined")
+        found = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        # A region whose classes are one set of candidates has nothing more to find.
+        named = crowd.join(joined, F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("comp"))
+        several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        open_ = written(several, "open-regions")
+        if open_.isEmpty():
+            return found
+        crowd = crowd.join(open_, "key", "left_semi")
+        if level + 1 < len(LEVELS):
+            ids = written(crowd.select("id").distinct(), "open-classes")
+            again = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+            # Rows with the same id and text are one.
+            signed = _prints(again, size, level + 1).where("n > 0").groupBy("doc_id", "n", "k1", "k2").agg(F.min("sig").alias("sig"))
+            signed = written(signed.select("doc_id", "n", "sig"), "deeper-prints")
+    return found.unionByName(_regions(_cut(crowd, percent), threshold))
+
+
+def _regions(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes of each region, all of which are compared."""
+    ordered = rows.select("key", "deep", "sketch", "id").repartition("key").sortWithinPartitions("key", "deep", "id")
+    return ordered.mapInArrow(_neighbours(threshold), "a long, b long")
 
 
 def confirm(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -323,8 +418,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = written(
         known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes"
     )
-    rows = _cut(classes.select(F.col("rep").alias("doc_id"), "n", "sig").mapInArrow(_forest, "key long, n long, sketch binary, id long"), percent)
-    near = rows.repartition("key").sortWithinPartitions("key", "sketch", "id").mapInArrow(_neighbours(percent / 100), "a long, b long")
+    near = _candidates(texts, classes, size, percent)
     roots = connected(near)
     members = roots.select(F.col("node").alias("id"), F.col("root").alias("comp")).unionByName(
         roots.select(F.col("root").alias("id"), F.col("root").alias("comp")).distinct()

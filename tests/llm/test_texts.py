@@ -94,6 +94,27 @@ def test_near_duplicates_in_dense_regions(spark, monkeypatch, dense):
     assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
 
 
+@pytest.mark.parametrize("dense", [1, 5])
+def test_near_duplicates_among_texts_that_share_much(spark, monkeypatch, dense):
+    """Unrelated texts (0.44 in common) fill the regions of the first levels; no pair at 0.8 is lost."""
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    common = [f"c{k}" for k in range(55)]
+    rows = []
+    for i in range(250):
+        same = [*common, *(f"w{i}x{k}" for k in range(25))]
+        rows += [(2 * i, " ".join([*same, *(f"l{i}x{k}" for k in range(10))])), (2 * i + 1, " ".join([*same, *(f"r{i}x{k}" for k in range(10))]))]
+    got = neardup.near_duplicates(frame(spark, rows), size=1).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(500)]
+
+
+def test_chance_to_meet():
+    """At similarity 0.8 a pair shares a region of each level, and its sketches pass."""
+    for trees, base, deep in neardup.LEVELS:
+        assert deep > base and (1 - 0.8**base) ** trees < 3e-6
+    least = int(neardup._least(0.8))
+    assert sum(math.comb(neardup.SKETCH, k) * 0.8**k * 0.2 ** (neardup.SKETCH - k) for k in range(least)) < 4e-6
+
+
 def test_sketches_in_blocks():
     """Connected sketches as by comparing all pairs, for many and few of them."""
     rng = np.random.default_rng(3)
