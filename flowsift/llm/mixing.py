@@ -12,8 +12,8 @@
    are taken whole, and only the ends of the run cut one.
 
 Only the list of sources (one row each) is held by the driver: it is the
-specification of the mix. Shards hold at most ``shard_docs`` documents until a
-source has ``max_shards`` of them; then they grow.
+specification of the mix. Shards hold about ``shard_docs`` documents: they are drawn by id, size
+and ``print_of`` (a hash of the text, where there is one), so rows that repeat an id, or have none, are spread too.
 
 Defined results: a null source is a source of its own, after all others; a null
 text has no words and nothing is taken; rows with equal or null ids are rows of
@@ -126,7 +126,7 @@ def mix_sources(
     block_words: int = 32,
     seed: int = 17,
     shard_docs: int = 4096,
-    max_shards: int = 10_000,
+    print_of: Column | None = None,
 ) -> DataFrame:
     """One row per document: doc (its columns), size, source_size, target, taken, spans.
 
@@ -134,9 +134,11 @@ def mix_sources(
     """
     spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
+    if print_of is None:
+        print_of = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(doc_id).alias("id"), F.col(source).alias("source"), size.alias("size"),
+        F.col(doc_id).alias("id"), F.col(source).alias("source"), size.alias("size"), print_of.alias("print"),
     )
     stats = rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words")).collect()
     stats.sort(key=lambda r: (r["source"] is None, r["source"]))
@@ -149,15 +151,15 @@ def mix_sources(
     quota = sainte_lague(w, sum(round(t / block_words) for t in target), [cap * b for b in blocks])
     sources = spark.createDataFrame(
         [
-            (i, r["source"], r["words"], float(t), q, min(max_shards, -(-r["docs"] // shard_docs)), bool(t >= cap * x))
+            (i, r["source"], r["words"], float(t), q, -(-r["docs"] // shard_docs), bool(t >= cap * x))
             for i, (r, x, t, q) in enumerate(zip(stats, words, target, quota, strict=True))
         ],
         "sid int, source string, words long, target double, quota long, shards int, full boolean",
     )
     dealt = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(
         "doc", "id", "size", "sid", "words", "target",
-        F.xxhash64(F.lit(seed), "sid", "id").alias("key"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards").cast("int").alias("shard"),
+        F.xxhash64(F.lit(seed), "sid", "id", "size", "print").alias("key"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size", "print"), "shards").cast("int").alias("shard"),
     )
     sizes = dealt.where("size > 0").groupBy("sid", "shard").agg(F.sum("size").alias("w"))
     own = Window.partitionBy("sid")
@@ -216,6 +218,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     from flowsift.llm.scratch import written
 
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix_sources(sized, size=F.col("size"))
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("print")), "mix-sizes")
+    mixed = mix_sources(sized, size=F.col("size"), print_of=F.col("print"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", F.col("doc.source").alias("source"), "spans")

@@ -78,3 +78,17 @@ def test_mix(spark):
 def test_empty(spark):
     assert mixing.mix_sources(frame(spark, [])).collect() == []
     assert [r.taken for r in mixing.mix_sources(frame(spark, [(1, None, None)])).collect()] == [0]
+
+
+def test_rows_without_or_with_one_id(spark):
+    """A source whose rows share an id, or have none, is dealt into shards like others and meets its target."""
+    rows = [(None if i % 2 else 7, "one", " ".join(f"w{i}x{j}" for j in range(20))) for i in range(600)] + [(i, "two", "a b c d") for i in range(600)]
+    runs = []
+    for parts in (3, 8):
+        got = mixing.mix_sources(frame(spark, rows).repartition(parts), shard_docs=30).collect()
+        runs.append(sorted((r.doc.text, r.taken) for r in got))
+        for source in ("one", "two"):
+            own = [r for r in got if r.doc.source == source]
+            assert len(own) == 600
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 0.05 * own[0].target + 80
+    assert runs[0] == runs[1]
