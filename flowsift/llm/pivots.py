@@ -14,14 +14,19 @@
 Scores are exact in integers; bounds have a margin, so no result is lost by rounding.
 Blocks, not rows, are dealt to batches, and what a task holds is bounded by ``part_blocks`` blocks.
 
-Defined results: vectors with null, NaN or infinite components, or a null id, take no part,
-nor those with a component beyond 2^26 after scaling; shorter vectors count as
+Vectors with a component beyond 2^26 are not in the index: their annuli would have no exact
+distances. They are compared in blocks, in Python's integers, with the stated set of queries,
+and the queries among them with all vectors; what is found joins the rest before the last rank.
+
+Defined results: vectors with null, NaN or infinite components, or a null id, take no part;
+so do components that are infinite once scaled; scores beyond a long count as its ends; shorter vectors count as
 padded with zeros; rows that share an id are one vector (that which sorts last); a query
 with fewer candidates has fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +44,44 @@ RESULT = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
-    whole = clean_vectors(table).withColumn("vec", F.transform("vec", lambda x: F.floor(x * float(scale)).cast("double")))
-    return whole.where(F.forall("vec", lambda x: F.abs(x) <= LIMIT))
+    """vec_id, vec: whole numbers as double, of any size."""
+    # A double from 2^53 on is whole, and floor's long would end at 2^63.
+    scaled = lambda x: x * float(scale)
+    whole = clean_vectors(table).withColumn("vec", F.transform("vec", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))))
+    return whole.where(F.forall("vec", lambda x: F.abs(x) < float("inf")))
+
+
+def _compare(k: int, ends: tuple[int, int] = (-(2**63), 2**63 - 1)):
+    """The k best candidates (kind 1) of every query (kind 0) of a pair of blocks, in Python's integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in by_key(batches, ["qb", "cb"]):
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                rows = [(r["kind"], r["vec_id"], [int(x) for x in r["vec"]]) for r in table.slice(a, b - a).to_pylist()]
+                others = [(i, v) for kind, i, v in rows if kind]
+                for kind, query, vec in rows:
+                    if kind:
+                        continue
+                    scores = [(max(ends[0], min(ends[1], sum(x * y for x, y in zip(vec, v, strict=False)))), i) for i, v in others if i != query]
+                    top = heapq.nsmallest(k, ((-s, i) for s, i in scores))
+                    if top:
+                        yield pa.record_batch({
+                            "query_id": pa.array([query] * len(top), pa.int64()), "vec_id": pa.array([i for _, i in top], pa.int64()),
+                            "score": pa.array([-s for s, _ in top], pa.int64()),
+                        })
+
+    return run
+
+
+def _in_blocks(queries: DataFrame, others: DataFrame, k: int, rows: int = 512) -> DataFrame:
+    """All queries against all others, blocks of about ``rows`` by hash, every pair of blocks a group of its own."""
+    n_q, n_c = (max(1, -(-x.count() // rows)) for x in (queries, others))
+    block = lambda n: F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "vec", F.lit(0).alias("kind"), block(n_q).alias("qb")).withColumn("cb", every(n_c))
+    right = others.select("vec_id", "vec", F.lit(1).alias("kind"), block(n_c).alias("cb")).withColumn("qb", every(n_q))
+    dealt = left.unionByName(right).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "kind")
+    return dealt.mapInArrow(_compare(k), RESULT)
 
 
 def _centres(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
@@ -116,11 +157,22 @@ def pivot_top_k(
     """vectors: vec_id, vec (whole numbers as double). Queries: ids divisible by ``every``. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship(spark)
-    vectors = written(vectors, "integer-vectors")
+    everything = written(vectors, "integer-vectors")
+    within = F.forall("vec", lambda x: F.abs(x) <= LIMIT)
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    vectors, large = everything.where(within), everything.where(~within)
+    beyond = None
+    if not large.isEmpty():
+        beyond = _in_blocks(large.where(asks), everything, k).unionByName(_in_blocks(vectors.where(asks), large, k))
+
+    def ranked_best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
     squared = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     facts = vectors.agg(F.max(F.size("vec")).alias("width"), F.max(squared).alias("longest"), F.count("*").alias("n")).first()
     if not facts["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return ranked_best(spark.createDataFrame([], RESULT) if beyond is None else beyond)
     width, longest = max(1, facts["width"]), float(facts["longest"])
     some = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample).select("vec").toArrow()
     centres = _centres(_lift(dense(some.column("vec"), width), longest), pivots)
@@ -165,7 +217,7 @@ def pivot_top_k(
         return written(ordered.mapInArrow(gather(n), "block long, pivot int, lo double, hi double, ids binary, vecs binary"), name)
 
     blocks = blocks_of(vectors, block_rows, "annuli")
-    batches = blocks_of(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), batch_rows, "query-batches")
+    batches = blocks_of(vectors.where(asks), batch_rows, "query-batches")
 
     def bounds(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch and pivot the least and greatest distance of its queries."""
@@ -230,8 +282,7 @@ def pivot_top_k(
     best_left = (F.col("length") + longest - F.col("low") ** 2) / 2 + 1e-6 * (F.col("length") + longest) + 0.5
     further = ranked.where(F.col("rank") > first).join(heads.select(F.col("batch").alias("b"), "lowest"), F.col("batch") == F.col("b")).where(best_left >= F.col("lowest"))
     all_found = found.unionByName(search(further.select("batch", "block", "low", "rank"), heads.drop("lowest")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return all_found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked_best(all_found if beyond is None else all_found.unionByName(beyond))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_graph_recall(spark):
         assert all(abs(s - vectors[q] @ vectors[v]) < 1e-12 for v, s in found)
         hits += len({v for v, _ in found} & {v for v, _ in expected[q]})
     assert hits / (20 * len(got)) >= 0.9
+
+
+def test_large_components(spark):
+    """Vectors beyond the index's range are searched all the same, in both directions; scores end at those of a long."""
+    rows = data(100, 4, seed=9) + [(1000, [2e6, 1.0]), (1001, [-3e7, 5.0, 1.0]), (1020, [1e30, -1.0]), (1040, [4e6, 4e6, 1.0, 2.0]), (1041, [1e37])]
+    whole = [(i, [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v] + [0] * (4 - len(v))) for i, v in rows]
+    expected = brute(whole, lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), 20)
+    vectors = pivots.integer_vectors(frame(spark, rows + ODD[:5]))
+    assert collected(pivots.pivot_top_k(vectors, pivots=5, sample=50, block_rows=16, batch_rows=8)) == expected
+    only = pivots.integer_vectors(frame(spark, [(0, [2e6, 1.0]), (1, [1.0, 1.0]), (20, [1.0, 2.0])]))
+    assert {q: [v for v, _ in found] for q, found in collected(pivots.pivot_top_k(only)).items()} == {0: [20, 1], 20: [0, 1]}
+    alone = pivots.integer_vectors(frame(spark, [(0, [2e6]), (20, [3e6])]))
+    assert collected(pivots.pivot_top_k(alone)) == {0: [(20, 128_000_000 * 192_000_000)], 20: [(0, 128_000_000 * 192_000_000)]}
