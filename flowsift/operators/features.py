@@ -12,6 +12,8 @@ from flowsift.schema import FEATURES, OPTIMIZED_FEATURES, VECTOR8, VECTOR8_TEXT
 
 # A vocabulary up to this many rows (values of one short text column) is broadcast.
 BROADCAST_ROWS = 1_000_000
+# Positions whose values one task numbers.
+POSITIONS = 1_000_000
 
 
 def service_text(df: DataFrame) -> Column:
@@ -22,17 +24,24 @@ def state_text(df: DataFrame) -> Column:
     return F.upper(read_text(df, "state", "other"))
 
 
-def vocabulary(df: DataFrame, value: Column, pos: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+def vocabulary(df: DataFrame, value: Column, pos: str = "id", by: tuple[str, ...] = (), span: int = POSITIONS) -> DataFrame:
     """Codes in order of first appearance, from 1: ``(by..., value, code)``.
 
-    Rows are reduced to one per value (map-side minimum of the position) before
-    the numbering, so the ordered window only sees the vocabulary itself.
+    ``pos`` is a number. Rows are reduced to one per value (map-side minimum of the position).
+    Values are numbered inside stretches of ``span`` positions, after the values of all earlier
+    stretches; only one count per stretch passes an ordered window that isn't cut further.
+    Values without a position come first.
     """
     first = df.select(*by, value.alias("value"), F.col(pos).alias("pos")).groupBy(*by, "value").agg(
         F.min("pos").alias("pos")
     )
-    order = Window.partitionBy(*(by or (F.lit(0),))).orderBy("pos", "value")
-    return first.select(*by, "value", F.row_number().over(order).cast("bigint").alias("code"))
+    first = first.withColumn("__stretch", F.coalesce(F.floor(F.col("pos") / span), F.lit(-(2**62))))
+    earlier = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.groupBy(*by, "__stretch").agg(F.count("*").alias("__n"))
+    before = counts.select(*by, "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = Window.partitionBy(*by, "__stretch").orderBy("pos", "value")
+    numbered = first.withColumn("__rank", F.row_number().over(own)).join(before, [*by, "__stretch"])
+    return numbered.select(*by, "value", (F.col("__before") + F.col("__rank")).cast("bigint").alias("code"))
 
 
 def attach_code(

@@ -127,3 +127,27 @@ def test_samples_of_all_seeds_in_one_scan(spark, labelled):
     for run, seed in enumerate([3, 11]):
         want = ids(sampling.stratified_sample(labelled, {0: 300, 1: 5000}, seed))
         assert ids(out.where(F.col("run") == run)) == want
+
+
+@pytest.mark.parametrize("by", [(), ("run",)])
+def test_vocabulary_in_stretches(spark, by):
+    """Codes by first appearance, whatever the stretches: gaps, negative and missing positions, a hot value."""
+    rows = [(run, pos, f"v{pos * 7 % 50}") for run in (0, 1) for pos in range(-40, 400, 3) if run == 0 or pos > 100]
+    rows += [(0, 1_000, "hot")] * 500 + [(0, 5, "hot"), (0, None, "lost"), (0, 10**12, "far")]
+    df = spark.createDataFrame(rows, "run int, id long, value string").withColumn("__n", F.lit(1))
+    first = {}
+    for run, pos, value in rows:
+        key = (run if by else 0, value)
+        first[key] = min(first.get(key, math.inf), -math.inf if pos is None else pos)
+    expected = {}
+    for run in {r for r, _ in first}:
+        own = sorted((p, v) for (r, v), p in first.items() if r == run)
+        expected |= {(run, v): i + 1 for i, (_, v) in enumerate(own)}
+    for span in (1, 16, 1_000_000):
+        got = features.vocabulary(df, F.col("value"), by=by, span=span).collect()
+        assert {(r["run"] if by else 0, r["value"]): r["code"] for r in got} == expected
+        assert len(got) == len(expected)
+
+
+def test_vocabulary_of_nothing(spark):
+    assert features.vocabulary(spark.createDataFrame([], "id long, service string"), F.col("service")).collect() == []
