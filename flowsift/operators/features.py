@@ -107,6 +107,12 @@ class Vocabularies:
                               vocab_rows=self._sizes.get("state"))
         return self._number_unseen(out)
 
+    def release(self) -> None:
+        """Drop what ``freeze`` cached."""
+        for table in (self.service, self.state):
+            if table is not None:
+                table.unpersist()
+
     def _number_unseen(self, out: DataFrame) -> DataFrame:
         for name in ("service", "state"):
             if name in self._sizes and not self.by:

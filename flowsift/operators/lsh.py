@@ -209,6 +209,10 @@ class LshModel:
     def spark(self) -> SparkSession:
         return self.index.sparkSession
 
+    def release(self) -> None:
+        """Drop the cached index."""
+        self.index.unpersist()
+
     def with_stats(self, df: DataFrame) -> DataFrame:
         """Add the statistics of each row's run."""
         names = ("mean", "std", "p10", "p25", "p50", "p75", "p90", "threshold")
@@ -252,8 +256,7 @@ def build_index(codes: DataFrame, families: dict[int, HashFamily], spec: LshSpec
 def finish_model(
     index: DataFrame, families: dict[int, HashFamily], stats: DataFrame, spec: LshSpec
 ) -> LshModel:
-    """Persist the index and collect its metadata (statistics, probes, hot buckets)."""
-    index = index.persist()
+    """Collect the metadata of an index that the caller has cached (statistics, probes, hot buckets)."""
     buckets = index.groupBy("run", "table_idx", "hash_key").agg(
         F.count("*").alias("codes"), F.min("first_pos").alias("first_pos")
     ).persist()
@@ -295,7 +298,7 @@ def fit_lsh(codes: DataFrame, seed: int = 42, spec: LshSpec = LSH_V2, family: Ha
     families = {0: family or HashFamily.draw(seed, spec)}
     tagged = codes.select(F.lit(0).alias("run"), "id", "embedding").persist()
     stats = distance_stats(distance_sample(tagged, seed, spec), spec)
-    model = finish_model(build_index(tagged, families, spec), families, stats, spec)
+    model = finish_model(build_index(tagged, families, spec).persist(), families, stats, spec)
     tagged.unpersist()
     return model
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowsift.functions.held import hold
 from flowsift.functions.numeric import seeded_key, uniform
 
 # Up to this many rows a sample is one bounded top-n; beyond it the sample is
@@ -73,11 +74,10 @@ def sample_runs(df: DataFrame, quotas: dict[int, int], seeds: list[int], label:
     draws = F.array(*[
         F.struct(F.lit(r).alias("run"), seeded_key(s, F.col(ident)).alias("key")) for r, s in enumerate(seeds)
     ])
-    near = (
+    near = hold(
         wanted.withColumn("__bound", bound)
         .withColumn("__draw", F.explode(F.filter(draws, lambda d: d["key"] < F.col("__bound"))))
         .select(*df.columns, F.col("__draw.run").alias("run"), F.col("__draw.key").alias("__key"))
-        .persist()
     )
     found = {(r["run"], r[label]): r["rows"] for r in near.groupBy("run", label).agg(F.count("*").alias("rows")).collect()}
     short = [v for v, n in quotas.items() if any(

@@ -56,6 +56,8 @@ def forget() -> None:
     for value in _shared.values():
         if isinstance(value, DataFrame):
             value.unpersist()
+        elif hasattr(value, "release"):
+            value.release()
     _shared.clear()
 
 

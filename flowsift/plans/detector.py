@@ -33,6 +33,11 @@ class FlowDetector:
     lsh: LshModel
     seed: int
 
+    def release(self) -> None:
+        """Drop the tables that fitting left in the cache; the detector still works, but computes them anew."""
+        self.vocabularies.release()
+        self.lsh.release()
+
     @property
     def model_name(self) -> str:
         return LSH_MODEL_V1 if self.lsh.spec.version == "v1" else LSH_MODEL

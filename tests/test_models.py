@@ -218,3 +218,19 @@ def test_forest_draws_from_all_rows(spark):
     forest = baselines.fit_iforest(vectors, trees=20, sample=64)
     roots = forest.nodes[forest.nodes["node"] == 0]
     assert len(roots) == 20 and (roots["size"] == 64).all()
+
+
+def test_cached_tables_have_an_owner(spark):
+    """Shared models give their index back; seeds release theirs with their scope; a released detector still scores."""
+    from conftest import SMALL
+    from flowsift.plans import catalog
+
+    catalog.forget()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = catalog.detector(spark, SMALL)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    catalog.seed_metrics(spark, SMALL)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 2  # the index and the metrics
+    catalog.forget()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert model.score(catalog.test_flows(spark, SMALL)).count() > 0
