@@ -19,6 +19,7 @@ from flowsift.operators.sampling import sample_n, stratified_sample, with_label
 from flowsift.operators.verdict import with_verdict
 from flowsift.plans import experiments
 from flowsift.plans.detector import FlowDetector, fit_flow_detector, fit_flow_detector_v1
+from flowsift.plans.suite import FlowSuite
 from flowsift.schema import FEATURES, LSH_V1, LSH_V2, OPTIMIZED_FEATURES, QUANTIZER_V1, QUANTIZER_V2, VECTOR8
 from flowsift.sources import results
 from flowsift.sources.flows import event_flows, flows_from_events, read_flows
@@ -591,19 +592,47 @@ def stream_metrics(spark, sf_dir):
     return rounded(totals, "detection_share", "accuracy")
 
 
-def stream_replay(spark, sf_dir):
-    """The sampled stream of 1,000 test flows, scored in micro-batches of 100; flows by batch size and verdict."""
+def _replay(spark, sf_dir, model) -> StreamSinks:
+    """The sampled stream of 1,000 test flows, scored in micro-batches of 100; the output folders."""
     folder = results.work_folder(spark, "replay")
     flows = test_flows(spark, sf_dir).drop("split")
     chosen = sample_n(flows.select("id"), 1000, SEED).select("id")
     stream = replay_in_batches(flows.join(F.broadcast(chosen), "id", "left_semi").select(*flows.columns), folder, 100)
     sinks = StreamSinks(f"{folder}/out")
-    score_stream(stream, detector(spark, sf_dir), sinks.root).awaitTermination()
-    detail = read_output(spark, sinks.detail)
+    score_stream(stream, model, sinks.root).awaitTermination()
+    return sinks
+
+
+def stream_replay(spark, sf_dir):
+    """Flows of the sampled stream by batch size and verdict."""
+    detail = read_output(spark, _replay(spark, sf_dir, detector(spark, sf_dir)).detail)
     sizes = detail.groupBy("batch_id").agg(F.count("*").alias("batch_rows"))
     return rounded(detail.join(F.broadcast(sizes), "batch_id").drop("batch_id", "ts"), "score")
 
 
+def _suite(spark, sf_dir) -> FlowSuite:
+    return _once(
+        spark, sf_dir, "suite",
+        lambda: FlowSuite(detector(spark, sf_dir), _scaled(spark, sf_dir)[0], _forest(spark, sf_dir), _svm(spark, sf_dir)),
+    )
+
+
+def suite_metrics(spark, sf_dir):
+    """Counts, rates and AUC of all three models on the test flows."""
+    with held_tables():
+        out = evaluate.all_metrics(_suite(spark, sf_dir).score(test_flows(spark, sf_dir), ("label",))).persist()
+        out.count()
+    return rounded(out, *evaluate.METRICS)
+
+
+def suite_stream(spark, sf_dir):
+    """Totals of all three models over the sampled stream, out of the state store."""
+    sinks, folder = _replay(spark, sf_dir, _suite(spark, sf_dir)), results.work_folder(spark, "totals")
+    state.run_totals(spark, sinks.performance, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    totals = state.latest_totals(spark, f"{folder}/rows").drop("seconds", "flows_per_second")
+    return rounded(totals, "detection_share", "accuracy")
+
+
 def run_history(spark, sf_dir):
     folder = results.work_folder(spark, "performance")
     metrics = evaluate.all_metrics(predictions(spark, sf_dir))
@@ -624,6 +653,8 @@ QUERIES: dict[str, Query] = {
     "stream_score": stream_score,
     "stream_metrics": stream_metrics,
     "stream_replay": stream_replay,
+    "suite_metrics": suite_metrics,
+    "suite_stream": suite_stream,
     "run_history": run_history,
     "flow_scan": flow_scan,
     "prediction_detail": prediction_detail,
