@@ -97,6 +97,16 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else grams[:0]), bounds
 
 
+def shingles_by_slices(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles; the words of only about 256 KB of texts are held at a time."""
+    found, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in pieces(pa.record_batch({"text": texts}), "text", 1 << 18):
+        own, at = shingles(part.column("text"), size)
+        found.append(own)
+        bounds.append(at[1:] + bounds[-1][-1])
+    return np.concatenate(found), np.concatenate(bounds)
+
+
 def signatures(sets: np.ndarray, at: np.ndarray, level: int = 0) -> np.ndarray:
     """Upper 32 bits of the least hash of each set for all hash functions; sets must not be empty."""
     multiply, add = hash_functions(level)
@@ -292,6 +302,7 @@ def _neighbours(threshold: float):
                 for x, y in zip(own, label, strict=True):
                     links.link(x, own[y])
         yield links.batch()
+        release()
 
     return run
 
@@ -396,14 +407,15 @@ def _confirmed(size: int, percent: int):
         links = _Union()
         for table, at in by_key(batches, ["comp", "i", "j"]):
             ids = table.column("id").to_numpy()
-            texts = table.column("text").combine_chunks()
-            sets, begin = shingles(texts, size)
+            sets, begin = shingles_by_slices(table.column("text").combine_chunks(), size)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = begin[a : b + 1]
                 label = confirm(sets[own[0] : own[-1]], own - own[0], percent)
                 for x, y in zip(ids[a:b].tolist(), ids[a + label].tolist(), strict=True):
                     links.link(x, y)
+            del sets
         yield links.batch()
+        release()
 
     return run
 

@@ -268,3 +268,11 @@ def test_language_model_empty(spark):
     assert contextmix.score_texts(frame(spark, [])).collect() == []
     rows = contextmix.score_texts(frame(spark, [(30, "no training text")])).collect() if zlib.crc32(b"30") % 10 == 0 else []
     assert all(r.n_known == 0 for r in rows)
+
+
+def test_shingles_by_slices_are_those_of_the_whole():
+    texts = pa.array([" ".join(sentence(n)) if n else ([None, ""][k % 2]) for k, n in enumerate([30_000, 0, 3, 0, 90_000, 1, 7, 60_000, 0])])
+    for some in (texts, texts.slice(1, 5), texts.slice(0, 0)):
+        for size in (2, 5):
+            want, got = neardup.shingles(some, size), neardup.shingles_by_slices(some, size)
+            assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(want, got, strict=True))
