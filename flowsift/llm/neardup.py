@@ -81,9 +81,10 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts)
     hashes, at = words.hashes(), words.doc_at
     found, bounds = [], np.zeros(len(at), np.int64)
-    grams = np.zeros(max(len(hashes) - size + 1, 0), np.uint64)
+    windows = max(len(hashes) - size + 1, 0)
+    grams = np.zeros(windows, np.uint64)
     for k in range(size):
-        grams += hashes[k : len(hashes) - size + 1 + k] * _PLACE[k]
+        grams += hashes[k : windows + k] * _PLACE[k]
     grams = mix64(grams)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         if b - a >= size:

@@ -276,3 +276,10 @@ def test_shingles_by_slices_are_those_of_the_whole():
         for size in (2, 5):
             want, got = neardup.shingles(some, size), neardup.shingles_by_slices(some, size)
             assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(want, got, strict=True))
+
+
+@pytest.mark.parametrize("words", range(6))
+def test_shingles_of_few_words(words):
+    """A slice of the table may hold fewer words than a shingle."""
+    sets, at = neardup.shingles(pa.array([" ".join(sentence(words)), None]), 5)
+    assert len(sets) == at[-1] == (words > 0) and at.tolist() == [0, words > 0, words > 0]
