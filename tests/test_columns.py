@@ -151,3 +151,12 @@ def test_vocabulary_in_stretches(spark, by):
 
 def test_vocabulary_of_nothing(spark):
     assert features.vocabulary(spark.createDataFrame([], "id long, service string"), F.col("service")).collect() == []
+
+
+def test_grid_beyond_the_range_of_bigint(spark):
+    from flowsift.functions.numeric import grid
+
+    values = [1.5638400001234e13, -3.2e13, 1e300, float("inf"), 1.2345678, -0.0000004]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    found = [r["g"] for r in df.select("i", grid(F.col("v")).alias("g")).orderBy("i").collect()]
+    assert found == [(v * 1e6 + 0.5) / 1e6 for v in values[:4]] + [1.234568, 0.0]
