@@ -234,3 +234,32 @@ def test_cached_tables_have_an_owner(spark):
     catalog.forget()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
     assert model.score(catalog.test_flows(spark, SMALL)).count() > 0
+
+
+@pytest.mark.parametrize("spec", [LSH_V2, LSH_V1], ids=["v2", "v1"])
+def test_settled_queries_keep_their_verdict(spark, monkeypatch, spec):
+    """Normal queries leave on a share of the codes; their verdicts are those of all candidates."""
+    from flowsift.operators.verdict import settled
+
+    train, test = clustered(4000, 1), np.concatenate([clustered(600, 2), np.random.RandomState(3).randint(0, 2**62, 20)])
+    df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(train)], "id bigint, embedding bigint")
+    model = lsh.fit_lsh(df, 42, spec)
+    assert model.codes.count() == len(np.unique(train)) and model.index_rows == spec.tables * len(np.unique(train))
+    queries = spark.createDataFrame([(0, int(c)) for c in test], "run int, embedding bigint")
+
+    def verdicts(found):
+        return {r["embedding"]: (r["is_anomaly"], spec.version == "v2" and r["score"]) for r in with_verdict(found, model).collect()}
+
+    full = lsh.knn(model, queries)
+    monkeypatch.setattr(lsh, "BROADCAST_INDEX_ROWS", 300 * spec.tables)
+    monkeypatch.setattr(lsh, "ROUND_STEP", 2)
+    early = lsh.knn(model, queries, settled(spec, flags_only=True))
+    assert verdicts(full) == verdicts(early) and early.count() == len(np.unique(test))
+    total = lambda found: found.agg(F.sum("candidates")).first()[0]
+    assert total(early) < total(full)
+
+
+def test_coders_have_no_index(spark):
+    catalog.forget()
+    assert catalog.flow_embedding(spark, SMALL).count() == catalog.event_flows(spark, SMALL).where("split = 'test' or label = 0").count()
+    assert not any("detector" in key[2] for key in catalog._shared)
