@@ -73,3 +73,20 @@ def test_recall(spark):
     assert sum(r.true_neighbours for r in rows) == sum(k for k, *_ in want.values())
     assert all(0 <= r.found <= r.true_neighbours and r.recall == r.found / r.true_neighbours for r in rows)
     assert [r.recall for r in rows if r.distance == 0] in ([], [1.0])  # equal codes share every bucket
+
+
+def test_far_queries_meet_codes_in_blocks(spark, monkeypatch):
+    """Far queries run no round: all codes are compared in blocks, within the distance that growing shares give."""
+    def no_round(*_):
+        raise AssertionError("a round that names nearly all pairs")
+
+    monkeypatch.setattr(hamming_search, "_round", no_round)
+    for name, value in {"FIRST_SHARE": 30, "SHARE_STEP": 3, "TASK_QUERIES": (9, 20), "TASK_CODES": (40, 100), "TILE": (4, 16)}.items():
+        monkeypatch.setattr(hamming_search, name, value)
+    index, queries = np.concatenate([near(200, 1, 12), far(300, 2), np.full(50, -5, np.int64)]), np.concatenate([near(40, 3, 14), far(20, 5)])
+    got = {r.embedding: r for r in hamming_search.exact_knn(frame(spark, queries), frame(spark, index), 20).collect()}
+    want = brute(queries, index, 20)
+    assert set(got) == set(want)
+    for q, (k, low, high, mean) in want.items():
+        r = got[q]
+        assert (r.k, r.min_distance, r.kth_distance) == (k, low, high) and abs(r.avg_distance - mean) < 1e-12
