@@ -17,6 +17,8 @@ from flowsift.operators.evaluate import anomalous_flows, classification_metrics,
 from flowsift.plans.detector import FlowDetector
 from flowsift.schema import FLOW
 
+# Flows of a micro-batch that one shuffle partition may hold; the session's number is the limit.
+BATCH_PARTITION_ROWS = 10_000
 
 def flow_stream(
     spark: SparkSession, path: str, schema: T.StructType = FLOW, files_per_trigger: int = 1
@@ -65,9 +67,14 @@ def score_stream(stream: DataFrame, detector: FlowDetector, root: str, available
     """
     sinks = StreamSinks(root)
     columns = [f.name for f in stream.schema if f.name != "id"]
+    most = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         begun = time.monotonic()
+        # A setting of the query's own session: cached tables keep all their partitions, so a small batch gets few.
+        own = batch.sparkSession
+        parts = max(own.sparkContext.defaultParallelism, -(-batch.count() // BATCH_PARTITION_ROWS))
+        own.conf.set("spark.sql.shuffle.partitions", min(most, parts))
         with held_tables():
             scored = hold(detector.score(batch, tuple(columns)))
             kept = [c for c in ("id", "ts") if c in scored.columns]

@@ -66,3 +66,43 @@ def test_replay_in_counted_batches(spark, tmp_path):
         assert sorted(map(len, seen), reverse=True) == sizes
         assert sorted(i for b in seen for i in b) == list(range(stop if stop is not None else 437))
         assert all(max(b) - min(b) == len(b) - 1 for b in seen)
+
+
+def test_state_and_small_batches_take_few_partitions(spark, tmp_path):
+    """The work of a trigger follows its rows, not the session's number of shuffle partitions."""
+    from flowsift.operators import lsh
+    from flowsift.schema import LSH_V2
+
+    before = spark.conf.get(state.SHUFFLE)
+    spark.conf.set(state.SHUFFLE, 40)
+    try:
+        source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+        for batch in range(2):
+            performance(spark, source, batch, 1, 2, 3, 4)
+        state.run_totals(spark, source, out, check).awaitTermination()
+        assert state.latest_totals(spark, out).first().flows_processed == 20
+        stores = [p for p in (tmp_path / "check" / "state" / "0").iterdir() if p.name.isdigit()]
+        assert 0 < len(stores) <= state.STATE_PARTITIONS
+        assert spark.conf.get(state.SHUFFLE) == "40"
+
+        most = spark.sparkContext.defaultParallelism
+        codes = spark.range(1000).selectExpr("id", "id * 7919 AS embedding")
+        model = lsh.fit_lsh(codes, 1, LSH_V2)
+        assert model.codes.count() == 1000 and model.codes.rdd.getNumPartitions() <= most
+        model.release()
+
+        class Scorer:
+            def score(self, flows, keep):
+                spread = flows.groupBy("id", "label").count().drop("count")
+                return spread.selectExpr("id", "label", "'m' AS model", "id % 2 = 0 AS is_anomaly", "1.0 AS score")
+
+        flows = spark.range(1000).selectExpr("id", "0 AS label")
+        folder = str(tmp_path / "stream")
+        flows.coalesce(1).write.parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(flows.schema).parquet(f"{folder}/rows")
+        score.score_stream(stream, Scorer(), f"{folder}/out").awaitTermination()
+        files = list((tmp_path / "stream" / "out" / "detail").rglob("part-*.parquet"))
+        assert score.read_output(spark, f"{folder}/out/detail").count() == 1000 and 0 < len(files) <= most
+        assert spark.conf.get(state.SHUFFLE) == "40"
+    finally:
+        spark.conf.set(state.SHUFFLE, before)
