@@ -47,6 +47,8 @@ SPREAD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (16, 17, 18, 19)
 GATES, ODDS, CLASSES = 81, 24, 64
 CHUNK = 1 << 16
+#: Decisions that are worked on at once.
+STRETCH = 1 << 15
 #: Bytes of text that a task works on at once.
 PIECE = 3 << 19
 
@@ -160,22 +162,35 @@ class Mixer:
         return self._table
 
     def learn(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
-        """Predict with what is known so far, step along the error, then count."""
-        slots = self._slots(contexts, of, salt)
-        inputs, gate = self._inputs(slots)
-        z = self._mix(inputs, gate)
-        one = 1 / (1 + np.exp(-z))
-        error, spread = bit - one, one * (1 - one)
-        for p, x in enumerate(inputs):  # a Newton step for each weight of each gate
-            pull, bend = np.bincount(gate, error * x, GATES), np.bincount(gate, spread * x * x, GATES)
-            self.weights[:, p] += (0.5 / len(inputs) * pull / (bend + 100)).astype(np.float32)
+        """Predict with what is known so far, step along the error, then count.
+
+        The decisions go through in stretches that stay in the processor's cache; sums are added in order of the decisions.
+        """
+        steps = np.zeros((len(self.slots), GATES), complex)  # per weight: the pull of the errors, and the bend
+        hits: list[list[np.ndarray]] = [[] for _ in self.slots]
+        for at in range(0, len(bit), STRETCH):
+            s = slice(at, at + STRETCH)
+            slots, b = self._slots(contexts, of[s], salt[s]), bit[s]
+            inputs, gate = self._inputs(slots)
+            z = self._mix(inputs, gate)
+            one = 1 / (1 + np.exp(-z))
+            error, spread = b - one, one * (1 - one)
+            for p, x in enumerate(inputs):
+                both = np.empty(len(b), complex)  # two sums in one pass
+                both.real, both.imag = error * x, spread * x * x
+                np.add.at(steps[p], gate, both)
+            self.refine += np.bincount(_cell(cell[s], z) * 2 + b, minlength=2 * len(self.refine)).reshape(-1, 2)
+            for held, slot in zip(hits, slots, strict=True):
+                slot *= 2
+                slot += b
+                held.append(slot)
+        for p in range(len(self.slots)):  # a Newton step for each weight of each gate
+            self.weights[:, p] += (0.5 / len(self.slots) * steps[p].real / (steps[p].imag + 100)).astype(np.float32)
         np.clip(self.weights, -1, 3, out=self.weights)
-        self.refine += np.bincount(_cell(cell, z) * 2 + bit, minlength=2 * len(self.refine)).reshape(-1, 2)
-        for counts, slot in zip(self.counts, slots, strict=True):
-            if len(bit) < 50_000:
-                np.add.at(counts.reshape(-1), slot * 2 + bit, 1)
-            else:
-                counts += np.bincount(slot * 2 + bit, minlength=2 * len(counts)).reshape(-1, 2).astype(np.int32)
+        for counts, held in zip(self.counts, hits, strict=True):
+            flat = counts.reshape(-1)
+            for slot in held:
+                np.add.at(flat, slot, np.int32(1))  # of the counters' type, which is the fast way
         self.seen += len(bit)
 
 
@@ -229,7 +244,7 @@ START = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _encode(words: Words, vocabulary: Vocabulary, codes: np.ndarray, kinds: np.ndarray):
-    """Per token (words of each text, then its end): symbol, the contexts, and the text."""
+    """Per token (words of each text, then its end): symbol, the contexts, the text, whether it is a word, and a number of symbol and contexts."""
     n = np.diff(words.doc_at)
     doc = np.repeat(np.arange(len(n)), n + 1)
     ends = np.cumsum(n + 1) - 1
@@ -253,11 +268,11 @@ def _encode(words: Words, vocabulary: Vocabulary, codes: np.ndarray, kinds: np.n
     one = last(common)
     two = np.where(one >= 0, one[np.maximum(one, 0)], -1)
     name = lambda i: np.where(i >= 0, symbols[np.maximum(i, 0)], FREQUENT).astype(np.uint64)
-    contexts = [
-        mix64(before + np.uint64(1)), mix64(name(one) + np.uint64(10_000_000)),
-        mix64(name(one) * np.uint64(FREQUENT + 1) + name(two) + np.uint64(20_000_000)),
-    ]
-    return symbols, contexts, doc, is_word
+    pair = name(one) * np.uint64(FREQUENT + 1) + name(two)
+    contexts = [mix64(before + np.uint64(1)), mix64(name(one) + np.uint64(10_000_000)), mix64(pair + np.uint64(20_000_000))]
+    base = vocabulary.escape + 2
+    same = (symbols.astype(np.uint64) * np.uint64(base) + np.minimum(before, np.uint64(base - 1))) * np.uint64((FREQUENT + 1) ** 2) + pair
+    return symbols, contexts, doc, is_word, same
 
 
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -281,7 +296,7 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return symbols, contexts, word
 
 
-def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
+def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 16) -> Iterator[slice]:
     """Slices of symbols with about ``limit`` decisions each."""
     at = np.cumsum(code.long[symbols]) // limit
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(symbols)]
@@ -339,7 +354,12 @@ def _held(part: pa.RecordBatch) -> np.ndarray:
 
 def _kinds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code of each word, hash and first place of each kind of word."""
-    codes, kinds = pd.factorize(words.hashes())
+    return _first_places(words.hashes())
+
+
+def _first_places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each name; each distinct name and its first place."""
+    codes, kinds = pd.factorize(names)
     spot = np.empty(len(kinds), np.int64)
     spot[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     return codes, kinds, spot
@@ -418,7 +438,7 @@ def _train(vocabulary: Vocabulary):
                 any_ = True
                 words = Words(part.column("text"))
                 codes, kinds, _ = _kinds(words)
-                symbols, contexts, _, is_word = _encode(words, vocabulary, codes, kinds)
+                symbols, contexts, _, is_word, _ = _encode(words, vocabulary, codes, kinds)
                 _learn(word_mixer, vocabulary.words, symbols, contexts)
                 rare = np.flatnonzero(symbols[is_word] == vocabulary.escape)
                 if len(rare):  # what scoring spells: the escaped words, as often as they occur
@@ -543,8 +563,10 @@ def _score(model: LanguageModel, buckets: int):
             for part in pieces(batch, "text", PIECE):
                 words = Words(part.column("text"))
                 codes, kinds, spot = _kinds(words)
-                symbols, contexts, doc, is_word = _encode(words, v, codes, kinds)
-                log = _log2(model.words, v.words, symbols, contexts)
+                symbols, contexts, doc, is_word, same = _encode(words, v, codes, kinds)
+                # Tokens with the same symbol and contexts have the same log2: it is worked out once.
+                again, _, one = _first_places(same)
+                log = _log2(model.words, v.words, symbols[one], [c[one] for c in contexts])[again]
                 kind_symbols = v.symbols(kinds)
                 rare = np.flatnonzero(kind_symbols == v.escape)
                 spelled = np.zeros(len(kinds))

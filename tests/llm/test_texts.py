@@ -283,3 +283,33 @@ def test_shingles_of_few_words(words):
     """A slice of the table may hold fewer words than a shingle."""
     sets, at = neardup.shingles(pa.array([" ".join(sentence(words)), None]), 5)
     assert len(sets) == at[-1] == (words > 0) and at.tolist() == [0, words > 0, words > 0]
+
+
+def test_mixer_learns_the_same_in_stretches(monkeypatch):
+    """Stretches that fit the cache change no counter, weight or refined outcome."""
+    code, rng = contextmix.Code(np.array([50, 3, 1, 1, 0, 20])), np.random.RandomState(5)
+    symbols = rng.randint(0, 6, 3000)
+    contexts = [rng.randint(0, 9, 3000).astype(np.uint64) for _ in range(3)]
+    found = []
+    for stretch in (1 << 30, 7):
+        monkeypatch.setattr(contextmix, "STRETCH", stretch)
+        mixer = contextmix.Mixer((8, 8, 8))
+        contextmix._learn(mixer, code, symbols, contexts)
+        found.append([*mixer.counts, mixer.weights, mixer.refine])
+    assert all((a == b).all() for a, b in zip(*found, strict=True))
+    assert found[0][0].sum() == code.long[symbols].sum()
+
+
+def test_tokens_with_the_same_contexts_share_a_number():
+    """The number of symbol and contexts is the same only where all of them are."""
+    kinds = np.array([7, 8, 9, 10], np.uint64)
+    order = np.argsort(kinds)
+    vocabulary = contextmix.Vocabulary(kinds[:3][order[:3]], order[:3], np.array([5, 4, 3, 2, 1]), np.ones(257, np.int64))
+    rng, texts = np.random.RandomState(2), []
+    for _ in range(40):
+        texts.append(" ".join(rng.choice(list("abcd"), rng.randint(0, 9))))
+    words = Words(pa.array(texts))
+    codes, found, _ = contextmix._kinds(words)
+    symbols, contexts, _, _, same = contextmix._encode(words, vocabulary, codes, kinds[: len(found)])
+    tuples = list(zip(symbols.tolist(), *[c.tolist() for c in contexts], strict=True))
+    assert len(set(tuples)) == len(set(same.tolist())) == len(set(zip(tuples, same.tolist(), strict=True))) < len(tuples)
