@@ -47,12 +47,19 @@ SPREAD, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORD_SLOTS, LETTER_SLOTS = (19, 19, 19), (16, 17, 18, 19)
 GATES, ODDS, CLASSES = 81, 24, 64
 CHUNK = 1 << 16
+#: What an outcome adds to the two counts of a slot, taken as one number.
+ONE_OF = np.array([[1, 0], [0, 1]], np.int32).view(np.int64).ravel()
 #: Decisions that are worked on at once.
 STRETCH = 1 << 15
 #: Bytes of text that a task works on at once.
 PIECE = 3 << 19
 
 
+def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values at places that are all valid, which numpy need not check."""
+    return np.take(values, at, mode="clip")
+
+
 class Code:
     """A Huffman code: for every symbol its nodes and decisions."""
 
@@ -79,7 +86,7 @@ class Code:
         self.long = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.long) - self.long
         nodes = np.array([x for p in paths for x in p], np.uint64)
-        self.salts = nodes * TURN
+        self.salts = nodes * TURN * SPREAD
         self.cells = ((nodes & np.uint64(CLASSES - 1)) * np.uint64(ODDS)).astype(np.int32)
         self.bits = np.array([x for b in bits for x in b], np.int8)
 
@@ -88,7 +95,7 @@ class Code:
         long = self.long[symbols]
         of = np.repeat(np.arange(len(symbols)), long)
         flat = np.arange(len(of)) + np.repeat(self.first[symbols] - (np.cumsum(long) - long), long)
-        return of, np.take(self.salts, flat), np.take(self.cells, flat), np.take(self.bits, flat)
+        return of, pick(self.salts, flat), pick(self.cells, flat), pick(self.bits, flat)
 
 
 @dataclass
@@ -111,12 +118,12 @@ class Mixer:
         if self.refine is None:
             self.refine = np.zeros((CLASSES * ODDS, 2), np.int64)
 
-    def _slots(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    def _slots(self, spread: list[np.ndarray], of: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+        """``spread``: contexts times ``SPREAD``, as the salts are."""
         out = []
-        for c, b in zip(contexts, self.slots, strict=True):
-            slot = np.take(c, of)
+        for c, b in zip(spread, self.slots, strict=True):
+            slot = pick(c, of)
             slot += salt
-            slot *= SPREAD
             slot >>= np.uint64(64 - b)
             out.append(slot.view(np.int64))
         return out
@@ -126,10 +133,10 @@ class Mixer:
         inputs, gate = [], None
         for p, slot in enumerate(slots):
             if self.odds:
-                x = np.take(self.odds[p], slot)
+                x = pick(self.odds[p], slot)
                 sure = (x.view(np.uint32) & np.uint32(3)).astype(np.int8)
             else:
-                x, sure = _log_odds(self.counts[p].view(np.int64).ravel()[slot].view(np.int32).reshape(-1, 2))
+                x, sure = _log_odds(pick(self.counts[p].view(np.int64).ravel(), slot).view(np.int32).reshape(-1, 2))
             inputs.append(x)
             gate = sure if gate is None else gate * np.int8(3) + sure
         return inputs, gate.astype(np.intp)
@@ -137,61 +144,71 @@ class Mixer:
     def _mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for p, x in enumerate(inputs):
-            part = np.take(np.ascontiguousarray(self.weights[:, p]), gate)
+            part = pick(np.ascontiguousarray(self.weights[:, p]), gate)
             part *= x
             z += part
         return np.clip(z, -11, 11, out=z)
 
     def predict(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """log2 of the probability of every outcome."""
-        inputs, gate = self._inputs(self._slots(contexts, of, salt))
+        """Natural logarithm of the probability of every outcome."""
+        inputs, gate = self._inputs(self._slots([c * SPREAD for c in contexts], of, salt))
         z = self._mix(inputs, gate)
         cell = _cell(cell, z)
         p1 = np.exp(np.negative(z, out=z), out=z)
         p1 += 1
         np.divide(np.float32(0.7), p1, out=p1)
-        p1 += np.take(self._refined(), cell)
+        p1 += pick(self._refined(), cell)
         np.clip(p1, 1e-5, 1 - 1e-5, out=p1)
         p1 += bit
         p1 -= 1  # so its absolute value is the outcome's probability
-        return np.log2(np.abs(p1, out=p1), out=p1)
+        return np.log(np.abs(p1, out=p1), out=p1)
 
     def _refined(self) -> np.ndarray:
         if self._table is None:
             self._table = (0.3 * (self.refine[:, 1] + 8 * _middle()) / (self.refine.sum(1) + 8)).astype(np.float32)
         return self._table
 
-    def learn(self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> None:
-        """Predict with what is known so far, step along the error, then count.
+    def learn(
+        self, contexts: list[np.ndarray], of: np.ndarray, salt: np.ndarray, cell: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None
+    ) -> None:
+        """Predict with what is known so far, step along the error, then count; a decision is made ``times`` (once, if not given).
 
         The decisions go through in stretches that stay in the processor's cache; sums are added in order of the decisions.
         """
         steps = np.zeros((len(self.slots), GATES), complex)  # per weight: the pull of the errors, and the bend
         hits: list[list[np.ndarray]] = [[] for _ in self.slots]
+        seen, spread_ = [], [c * SPREAD for c in contexts]
         for at in range(0, len(bit), STRETCH):
             s = slice(at, at + STRETCH)
-            slots, b = self._slots(contexts, of[s], salt[s]), bit[s]
+            slots, b = self._slots(spread_, of[s], salt[s]), bit[s]
             inputs, gate = self._inputs(slots)
             z = self._mix(inputs, gate)
             one = 1 / (1 + np.exp(-z))
             error, spread = b - one, one * (1 - one)
+            n = None if times is None else pick(times, of[s])
+            if n is not None:
+                error *= n
+                spread *= n
             for p, x in enumerate(inputs):
                 both = np.empty(len(b), complex)  # two sums in one pass
-                both.real, both.imag = error * x, spread * x * x
+                pull = error * x
+                both.real = pull
+                np.multiply(spread, x, out=pull)
+                pull *= x
+                both.imag = pull
                 np.add.at(steps[p], gate, both)
-            self.refine += np.bincount(_cell(cell[s], z) * 2 + b, minlength=2 * len(self.refine)).reshape(-1, 2)
+            self.refine += np.bincount(_cell(cell[s], z) * 2 + b, n, 2 * len(self.refine)).astype(np.int64).reshape(-1, 2)
+            seen.append(pick(ONE_OF, b) if n is None else pick(ONE_OF, b) * n.astype(np.int64))
             for held, slot in zip(hits, slots, strict=True):
-                slot *= 2
-                slot += b
                 held.append(slot)
         for p in range(len(self.slots)):  # a Newton step for each weight of each gate
             self.weights[:, p] += (0.5 / len(self.slots) * steps[p].real / (steps[p].imag + 100)).astype(np.float32)
         np.clip(self.weights, -1, 3, out=self.weights)
         for counts, held in zip(self.counts, hits, strict=True):
-            flat = counts.reshape(-1)
-            for slot in held:
-                np.add.at(flat, slot, np.int32(1))  # of the counters' type, which is the fast way
-        self.seen += len(bit)
+            both = counts.view(np.int64).ravel()
+            for slot, n in zip(held, seen, strict=True):
+                np.add.at(both, slot, n)  # of the counters' type, which is the fast way
+        self.seen += len(bit) if times is None else int(pick(times, of).sum(dtype=np.float64))
 
 
 def _cell(cell: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -205,11 +222,12 @@ def pack_odds(odds: np.ndarray, sure: np.ndarray) -> np.ndarray:
 
 def _log_odds(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of outcome 1, and how much was seen: 0, 1 (up to three times) or 2."""
-    n = pair.astype(np.float32)
-    n += np.float32(0.4)
-    np.log(n, out=n)
-    total = pair[:, 0] + pair[:, 1]
-    return n[:, 1] - n[:, 0], (total > 0).astype(np.int8) + (total > 3)
+    none, one = pair[:, 0].astype(np.float32), pair[:, 1].astype(np.float32)
+    total = none + one
+    none += np.float32(0.4)
+    one += np.float32(0.4)
+    one /= none
+    return np.log(one, out=one), (total > 0).view(np.int8) + (total > 3).view(np.int8)
 
 
 def _middle() -> np.ndarray:
@@ -275,8 +293,8 @@ def _encode(words: Words, vocabulary: Vocabulary, codes: np.ndarray, kinds: np.n
     return symbols, contexts, doc, is_word, same
 
 
-def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Letters of words, each word with its end symbol 256: symbols, contexts, index of the word."""
+def _letter_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Letters of words, each word with its end symbol 256: symbols, index of the word, place in the word."""
     long = ends - starts
     word = np.repeat(np.arange(len(starts)), long + 1)
     stop = np.cumsum(long + 1) - 1
@@ -285,6 +303,12 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     flat = np.arange(len(word)) - np.repeat(stop - long, long + 1)
     symbols = np.full(len(word), 256)
     symbols[inside] = FOLD[data[(np.repeat(starts, long + 1) + flat)[inside]]]
+    return symbols, word, flat
+
+
+def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Letters of words, each word with its end symbol 256: symbols, contexts, index of the word, and a number of symbol and contexts."""
+    symbols, word, flat = _letter_symbols(data, starts, ends)
     contexts, held = [], np.zeros(len(word), np.uint64)
     for k in range(1, max(LETTERS) + 1):
         back = np.zeros(len(word), np.uint64)
@@ -293,7 +317,7 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         held = held * np.uint64(257) + back
         if k in LETTERS:
             contexts.append(mix64(held + np.uint64(k)))
-    return symbols, contexts, word
+    return symbols, contexts, word, held * np.uint64(257) + symbols.astype(np.uint64)
 
 
 def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 16) -> Iterator[slice]:
@@ -303,24 +327,35 @@ def _steps(code: Code, symbols: np.ndarray, limit: int = 1 << 16) -> Iterator[sl
     yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
-def _log2(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-    """log2 of the probability of each symbol."""
+def _log2(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], same: np.ndarray | None = None) -> np.ndarray:
+    """log2 of the probability of each symbol; of those with the same number of symbol and contexts it is worked out once."""
+    again = None
+    if same is not None:
+        again, _, one = _first_places(same)
+        symbols, contexts = symbols[one], [c[one] for c in contexts]
     out = np.zeros(len(symbols))
     for s in _steps(code, symbols):
         of, salt, cell, bit = code.expand(symbols[s])
         out[s] = np.bincount(of, mixer.predict([c[s] for c in contexts], of, salt, cell, bit), s.stop - s.start)
-    return out
+    out /= np.log(2)
+    return out if again is None else out[again]
 
 
-def _learn(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray]) -> None:
-    """Small blocks at first, so that the weights follow the first counts; then an eighth of what was seen."""
+def _learn(mixer: Mixer, code: Code, symbols: np.ndarray, contexts: list[np.ndarray], same: np.ndarray | None = None) -> None:
+    """Small blocks at first, so that the weights follow the first counts; then an eighth of what was seen.
+
+    In a block symbols with the same number of symbol and contexts are one, with the times it occurs.
+    """
     after, at = np.cumsum(code.long[symbols]), 0
     while at < len(symbols):
         limit = min(1 << 20, max(1 << 11, mixer.seen // 8))
         end = int(np.searchsorted(after, (after[at - 1] if at else 0) + limit)) + 1
         s = slice(at, min(end, len(symbols)))
-        of, salt, cell, bit = code.expand(symbols[s])
-        mixer.learn([c[s] for c in contexts], of, salt, cell, bit)
+        some, near, times = symbols[s], [c[s] for c in contexts], None
+        if same is not None:
+            codes, _, one = _first_places(same[s])
+            some, near, times = some[one], [c[one] for c in near], np.bincount(codes).astype(np.float32)
+        mixer.learn(near, *code.expand(some), times)
         at = s.stop
 
 
@@ -388,8 +423,7 @@ def _word_counts(buckets: int):
                 some = counts > 0
                 held.append((kinds[some], counts[some]))
                 s, e = words.starts[spot[some]], words.ends[spot[some]]
-                symbols, _, _ = _letters(words.data, s, e)
-                letters += np.bincount(symbols, minlength=257)
+                letters += np.bincount(_letter_symbols(words.data, s, e)[0], minlength=257)
                 if len(held) >= 16:
                     held = [merged()]
         names, counts = merged() if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -442,8 +476,8 @@ def _train(vocabulary: Vocabulary):
                 _learn(word_mixer, vocabulary.words, symbols, contexts)
                 rare = np.flatnonzero(symbols[is_word] == vocabulary.escape)
                 if len(rare):  # what scoring spells: the escaped words, as often as they occur
-                    letters, contexts, _ = _letters(words.data, words.starts[rare], words.ends[rare])
-                    _learn(letter_mixer, vocabulary.spelling, letters, contexts)
+                    letters, contexts, _, same = _letters(words.data, words.starts[rare], words.ends[rare])
+                    _learn(letter_mixer, vocabulary.spelling, letters, contexts, same)
         if not any_:
             return
         for level, mixer in enumerate((word_mixer, letter_mixer)):
@@ -564,17 +598,15 @@ def _score(model: LanguageModel, buckets: int):
                 words = Words(part.column("text"))
                 codes, kinds, spot = _kinds(words)
                 symbols, contexts, doc, is_word, same = _encode(words, v, codes, kinds)
-                # Tokens with the same symbol and contexts have the same log2: it is worked out once.
-                again, _, one = _first_places(same)
-                log = _log2(model.words, v.words, symbols[one], [c[one] for c in contexts])[again]
+                log = _log2(model.words, v.words, symbols, contexts, same)
                 kind_symbols = v.symbols(kinds)
                 rare = np.flatnonzero(kind_symbols == v.escape)
                 spelled = np.zeros(len(kinds))
                 done, spelled[rare] = known_spelling.find(kinds[rare])
                 new = rare[~done]
                 if len(new):
-                    letters, near, of = _letters(words.data, words.starts[spot[new]], words.ends[spot[new]])
-                    spelled[new] = np.bincount(of, _log2(model.letters, v.spelling, letters, near), len(new))
+                    letters, near, of, same = _letters(words.data, words.starts[spot[new]], words.ends[spot[new]])
+                    spelled[new] = np.bincount(of, _log2(model.letters, v.spelling, letters, near, same), len(new))
                     known_spelling.add(kinds[new], spelled[new])
                 log[is_word] += spelled[codes]
                 m = part.num_rows

@@ -313,3 +313,20 @@ def test_tokens_with_the_same_contexts_share_a_number():
     symbols, contexts, _, _, same = contextmix._encode(words, vocabulary, codes, kinds[: len(found)])
     tuples = list(zip(symbols.tolist(), *[c.tolist() for c in contexts], strict=True))
     assert len(set(tuples)) == len(set(same.tolist())) == len(set(zip(tuples, same.tolist(), strict=True))) < len(tuples)
+
+
+def test_mixer_learns_repeated_symbols_at_once():
+    """A symbol with its times is learned like its repetitions, and scored like them."""
+    code, rng = contextmix.Code(np.array([50, 3, 1, 1, 0, 20])), np.random.RandomState(6)
+    symbols, number = rng.randint(0, 6, 3000), rng.randint(0, 9, 3000).astype(np.uint64)
+    contexts = [number, number // np.uint64(2), number // np.uint64(4)]
+    same = number * np.uint64(6) + symbols.astype(np.uint64)
+    found, scores = [], []
+    for key in (None, same):
+        mixer = contextmix.Mixer((8, 8, 8))
+        contextmix._learn(mixer, code, symbols, contexts, key)
+        found.append([*mixer.counts, mixer.refine, mixer.seen])
+        scores.append((mixer.weights, contextmix._log2(mixer, code, symbols, contexts, key)))
+    assert all(np.array_equal(a, b) for a, b in zip(*found, strict=True))
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(*scores, strict=True))
+    assert found[1][-1] == code.long[symbols].sum()
