@@ -90,3 +90,31 @@ def test_far_queries_meet_codes_in_blocks(spark, monkeypatch):
     for q, (k, low, high, mean) in want.items():
         r = got[q]
         assert (r.k, r.min_distance, r.kth_distance) == (k, low, high) and abs(r.avg_distance - mean) < 1e-12
+
+
+def test_blocks_skip_far_pairs(monkeypatch):
+    """A block looks at a small part of its pairs when the bounds are tight, and at all of them when they are not."""
+    import pyarrow as pa
+
+    index, queries = np.unique(far(20_000, 1)), np.unique(np.concatenate([far(20_000, 1)[:1500] ^ 5, far(500, 3)]))
+    bounds = np.resize([4, 4, 2, 64], len(queries)).astype(np.int32)
+    bounds[1000:] = 3
+    looked, xor = [], np.bitwise_xor
+    monkeypatch.setattr(np, "bitwise_xor", lambda a, b, out: looked.append(out.size) or xor(a, b, out=out))
+
+    def counted(which):
+        rows = pa.RecordBatch.from_arrays([pa.array([queries[which]]), pa.array([bounds[which]]), pa.array([index])], ["query", "bound", "known"])
+        looked.clear()
+        out = list(hamming_search._compare(*hamming_search.TILE)(iter([rows])))
+        return {(q, d): n for b in out for q, d, n in zip(*(c.to_pylist() for c in b.columns))}
+
+    def want(which):
+        out = {}
+        for q, bound in zip(queries[which], bounds[which]):
+            d = np.bitwise_count((index ^ q).view(np.uint64))
+            out |= {(int(q), int(x)): int(n) for x, n in zip(*np.unique(d[d <= bound], return_counts=True))}
+        return out
+
+    tight = bounds < 64
+    assert counted(tight) == want(tight) and sum(looked) < tight.sum() * len(index) / 4
+    assert counted(np.arange(60)) == want(np.arange(60))
