@@ -263,3 +263,28 @@ def test_coders_have_no_index(spark):
     catalog.forget()
     assert catalog.flow_embedding(spark, SMALL).count() == catalog.event_flows(spark, SMALL).where("split = 'test' or label = 0").count()
     assert not any("detector" in key[2] for key in catalog._shared)
+
+
+@pytest.mark.parametrize("spec", [LSH_V1, LSH_V2])
+@pytest.mark.parametrize("one_in", [1, 3])
+def test_bucket_mates_in_blocks(spark, monkeypatch, spec, one_in):
+    """Bucket by bucket as by a join: small, large and hot buckets, two runs, negative codes, queries without mates."""
+    rng = np.random.RandomState(3)
+    crowd = [int(c) for c in np.unique(rng.randint(0, 2**12, 900) - 2**11)]
+    train = [(r, i, c ^ (r << 40)) for r in (0, 1) for i, c in enumerate(crowd + [int(c) for c in rng.randint(-(2**62), 2**62, 50)])]
+    tests = [(r, c ^ 5 ^ (r << 40)) for r in (0, 1) for c in crowd[:120]] + [(0, int(c)) for c in rng.randint(-(2**62), 2**62, 30)]
+    families = {r: lsh.HashFamily.draw(r, spec) for r in (0, 1)}
+    codes = spark.createDataFrame(train, "run int, id bigint, embedding bigint")
+    stats = lsh.distance_stats(lsh.number_sample(codes, F.lit(1), spec), spec)
+    monkeypatch.setattr(lsh, "HOT_BUCKET_CODES", 2 if spec is LSH_V1 else 40)
+    monkeypatch.setattr(lsh, "BROADCAST_INDEX_ROWS", 10)
+    model = lsh.finish_model(lsh.index_codes(codes, families).persist(), families, stats, spec)
+    assert model.hot
+    queries = model.hash(spark.createDataFrame(tests, "run int, embedding bigint").distinct())
+    joined = {(r.run, r.query): r for r in lsh.nearest(lsh.bucket_pairs(model, queries, one_in=one_in), spec.neighbours).collect()}
+    for limit in (lsh.TILE_PAIRS, 64):
+        monkeypatch.setattr(lsh, "TILE_PAIRS", limit)
+        monkeypatch.setattr(lsh, "BLOCK_ROWS", 3_000)
+        found = lsh.nearest_mates(model, queries, spec.neighbours, one_in=one_in)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+        assert {(r.run, r.query): r for r in found.collect()} == joined and len(joined) > 150
