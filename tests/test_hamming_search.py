@@ -118,3 +118,13 @@ def test_blocks_skip_far_pairs(monkeypatch):
     tight = bounds < 64
     assert counted(tight) == want(tight) and sum(looked) < tight.sum() * len(index) / 4
     assert counted(np.arange(60)) == want(np.arange(60))
+
+
+def test_recall_in_blocks(spark, monkeypatch):
+    """The recall of a large index, whose bucket-mates are compared in blocks, is that of a small one."""
+    train, test = near(200, 7, 4), near(40, 8, 5)
+    model = lsh.fit_lsh(spark.createDataFrame([(i, int(c)) for i, c in enumerate(train)], "id bigint, embedding bigint"), 42, LSH_V2)
+    queries = model.hash(spark.createDataFrame([(0, int(c)) for c in np.unique(test)], "run int, embedding bigint"))
+    small = sorted(hamming_search.index_recall(model, queries, 10).collect())
+    monkeypatch.setattr(lsh, "BROADCAST_INDEX_ROWS", 10)
+    assert sorted(hamming_search.index_recall(model, queries, 10).collect()) == small and small
